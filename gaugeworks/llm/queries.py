@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid
+from . import bpe, langid, neardup
 
 
 def queries() -> dict:
     return {
+        "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
+        "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
         "op9_language_id": langid.op9_language_id,
     }
 
