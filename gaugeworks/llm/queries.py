@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, neardup
+from . import bpe, langid, mixing, neardup
 
 
 def queries() -> dict:
     return {
+        "op2_source_mixing": mixing.op2_source_mixing,
         "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
         "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
         "op9_language_id": langid.op9_language_id,
