@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, neardup
+from . import ann, bpe, langid, mixing, neardup
 
 
 def queries() -> dict:
     return {
         "op2_source_mixing": mixing.op2_source_mixing,
         "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
+        "op5_nearest_neighbours": ann.op5_nearest_neighbours,
         "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
         "op9_language_id": langid.op9_language_id,
     }
