@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, mixing, neardup
+from . import ann, bpe, fingerprint, langid, mixing, neardup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_source_mixing": mixing.op2_source_mixing,
         "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
         "op5_nearest_neighbours": ann.op5_nearest_neighbours,
+        "op6_document_fingerprints": fingerprint.op6_document_fingerprints,
         "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
         "op9_language_id": langid.op9_language_id,
     }
