@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, fingerprint, langid, mixing, neardup
+from . import ann, bpe, fingerprint, langid, licenses, mixing, neardup
 
 
 def queries() -> dict:
     return {
         "op2_source_mixing": mixing.op2_source_mixing,
         "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
+        "op4_license_scan": licenses.op4_license_scan,
         "op5_nearest_neighbours": ann.op5_nearest_neighbours,
         "op6_document_fingerprints": fingerprint.op6_document_fingerprints,
         "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_license_scan": licenses.sql()}
