@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, fingerprint, langid, licenses, mixing, neardup
+from . import ann, bpe, fingerprint, katz, langid, licenses, mixing, neardup
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_document_fingerprints": fingerprint.op6_document_fingerprints,
         "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
         "op9_language_id": langid.op9_language_id,
+        "op10_katz_scoring": katz.op10_katz_scoring,
     }
 
 
