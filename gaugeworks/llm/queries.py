@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, fingerprint, katz, langid, licenses, mixing, neardup
+from . import ann, bpe, fingerprint, katz, langid, licenses, mixing, neardup, surrogates
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_nearest_neighbours": ann.op5_nearest_neighbours,
         "op6_document_fingerprints": fingerprint.op6_document_fingerprints,
         "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
+        "op8_pii_surrogates": surrogates.op8_pii_surrogates,
         "op9_language_id": langid.op9_language_id,
         "op10_katz_scoring": katz.op10_katz_scoring,
     }
