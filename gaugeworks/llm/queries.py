@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, fingerprint, katz, langid, licenses, mixing, neardup, surrogates
+from . import ann, bpe, fingerprint, katz, langid, licenses, mixing, neardup, passages, surrogates
 
 
 def queries() -> dict:
     return {
+        "op1_repeated_passages": passages.op1_repeated_passages,
         "op2_source_mixing": mixing.op2_source_mixing,
         "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
         "op4_license_scan": licenses.op4_license_scan,
