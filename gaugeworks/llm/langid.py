@@ -7,7 +7,7 @@ trained by mini-batch stochastic gradient descent in numpy on a bounded,
 documented sample of labelled rows (`Params.train_rows`).  A quarter of that
 sample is held back: it sets the softmax temperature and the rejection
 threshold, the confidence that all but `Params.reject_rate` of the correctly
-classified held-back texts reach.
+classified held-back texts reach, though a half at most.
 
 Since the softmax input is linear in the mean, prediction uses the product of
 the two matrices: one row of language scores for each hash bucket.
@@ -41,7 +41,7 @@ class Params:
     dim: int = 8
     n_min: int = 1
     n_max: int = 4
-    epochs: int = 6
+    steps: int = 700  #: of gradient descent, at least; whole passes are made
     batch: int = 32
     rate: float = 4.0
     seed: int = 7
@@ -157,9 +157,10 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], p: Params) -> Model:
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
         return b, w, np.repeat(np.arange(len(chosen)), lens), np.add.reduceat(emb[b] * w[:, None], starts, axis=0)
 
-    steps = max(1, p.epochs * -(-len(use) // p.batch))
+    batches = -(-len(use) // p.batch)
+    steps = -(-p.steps // batches) * batches
     step = 0
-    for _ in range(p.epochs):
+    while step < steps:
         mixed = rng.permutation(use)
         for at in range(0, len(mixed), p.batch):
             chosen = mixed[at : at + p.batch]
@@ -183,7 +184,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], p: Params) -> Model:
     prob = _softmax(z / heat)
     sure = np.sort(prob.max(axis=1)[prob.argmax(axis=1) == y[back]])
     threshold = float(sure[int(p.reject_rate * len(sure))]) * 0.98 if len(sure) else 0.0
-    return Model(langs, (emb @ out.T / heat).astype(np.float32), (bias / heat).astype(np.float32), min(threshold, 0.9), p)
+    return Model(langs, (emb @ out.T / heat).astype(np.float32), (bias / heat).astype(np.float32), min(threshold, 0.5), p)
 
 
 def predict(texts: list[str | None], m: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
