@@ -186,7 +186,7 @@ def _links(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     return pairs.join(x, "x").join(y, "y").where(both * 100 >= (F.size("sx") + F.size("sy") - both) * p.percent).select("x", "y")
 
 
-def _small(ids: DataFrame, p: Params) -> DataFrame:
+def small(ids: DataFrame, p: Params) -> DataFrame:
     """`ids`, broadcast if its size allows."""
     return F.broadcast(ids) if ids.limit(p.broadcast_rows + 1).count() <= p.broadcast_rows else ids
 
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     # every class of a bucket may be compared, so their sets are taken once
     wanted = buckets.select("node").distinct().join(nodes.select("node", "leader"), "node")
-    by_id = _small(common.stored(wanted, "wanted"), p)
+    by_id = small(common.stored(wanted, "wanted"), p)
     of_node = docs.join(by_id, docs["doc_id"] == by_id["leader"]).select("node", "text")
     raw = of_node.mapInArrow(lambda b: _sets(b, p), "node binary, members array<long>")
     sets = common.stored(raw, "sets")
