@@ -301,13 +301,19 @@ def casing_entropy(d: DataFrame) -> DataFrame:
     return _figures(d, r4(entropy(F.col("cc"), F.size("_c"))).alias("entropy"), macro.alias("screaming_snake_density"), *counts)
 
 
+def _variance(array: str) -> Column:
+    """Population variance of whole numbers, from exact sums."""
+    n, s, q = F.size(array).cast("double"), total(F.col(array)), total(F.transform(array, lambda x: x * x))
+    return (n * q - s * s) / F.nullif(n * n, F.lit(0.0))
+
+
 @metric
 def identifier_length_variance(d: DataFrame) -> DataFrame:
     """Mean, population variance and deviation, and greatest length of identifiers."""
     d = d.withColumn("_l", F.transform("ids", lambda x: F.char_length(x).cast("double")))
     n = F.nullif(F.size("_l").cast("double"), F.lit(0.0))
     d = d.withColumn("_m", total(F.col("_l")) / n)
-    d = d.withColumn("_v", total(F.transform("_l", lambda x: (x - F.col("_m")) * (x - F.col("_m")))) / n)
+    d = d.withColumn("_v", _variance("_l"))
     figures = {"mean": F.col("_m"), "variance": F.col("_v"), "std_dev": F.sqrt("_v")}
     return _figures(d, *(F.coalesce(r4(c), F.lit(0.0)).alias(k) for k, c in figures.items()), F.coalesce(F.array_max("_l"), F.lit(0)).cast("long").alias("max"))
 
@@ -318,7 +324,7 @@ def indentation(d: DataFrame) -> DataFrame:
     d = d.withColumn("_d", F.transform("nb", lambda x: F.char_length(F.regexp_extract(x, r"^(\s*)", 1)).cast("double")))
     n = F.nullif(F.size("_d").cast("double"), F.lit(0.0))
     d = d.withColumn("_m", total(F.col("_d")) / n)
-    v = total(F.transform("_d", lambda x: (x - F.col("_m")) * (x - F.col("_m")))) / n
+    v = _variance("_d")
     blank = F.size("lines") - F.size("nb")
     return _figures(d, F.coalesce(r4(F.col("_m")), F.lit(0.0)).alias("mean_depth"), F.coalesce(r4(v), F.lit(0.0)).alias("variance"),
         F.coalesce(F.array_max("_d"), F.lit(0)).cast("long").alias("max_depth"), F.exists("lines", lambda x: x.startswith("\t")).alias("uses_tabs"),
