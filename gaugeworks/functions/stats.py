@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 def r4(x: Column) -> Column:
-    return F.round(x.cast("double"), 4) + 0.0
+    """Four decimal places, halves of the scaled number away from zero; numbers that
+    are too large to have such places stay as they are."""
+    x = x.cast("double")
+    size = F.when(F.abs(x) < 1e11, F.floor(F.abs(x) * 10000.0 + 0.5).cast("double") / 10000.0).otherwise(F.abs(x))
+    return F.when(x < 0, -size).otherwise(size) + 0.0
 
 
 def total(array: Column) -> Column:

@@ -252,9 +252,9 @@ def long_form(names: list[str]) -> str:
     parts, union = [PRELUDE], []
     for n in names:
         ctes, body = _CTES[n]
-        inner = f"(WITH {ctes} {body})" if ctes else f"({body})"
-        parts.append(f"x_{n} AS (SELECT * FROM {inner})")
-        union.append(f"SELECT path, '{n}' AS metric, key, value FROM (UNPIVOT (SELECT path, COLUMNS(c -> c NOT IN ('path', 'uses_tabs'))::DOUBLE FROM x_{n}) ON COLUMNS(* EXCLUDE (path)) INTO NAME key VALUE value)")
+        parts.append(f"x_{n} AS ({f'WITH {ctes} {body}' if ctes else body})")
+        left = "path, uses_tabs" if n == "indentation" else "path"
+        union.append(f"SELECT path, '{n}' AS metric, key, value FROM (UNPIVOT (SELECT path, COLUMNS(* EXCLUDE ({left}))::DOUBLE FROM x_{n}) ON COLUMNS(* EXCLUDE (path)) INTO NAME key VALUE value)")
     parts.append("fm0 AS (" + " UNION ALL ".join(union) + ")")
     parts.append("fm AS (SELECT fm0.*, snapshot FROM fm0 JOIN f USING (path))")
     return ", ".join(parts)
