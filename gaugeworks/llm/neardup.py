@@ -14,11 +14,15 @@ the pairs of groups are formed, so documents without any near copy cost two doze
 short rows and no more.
 
 Verification, on full sets.  First every class is compared with one pivot of each
-of its buckets and the confirmed links are merged to components.  Then, in the
-buckets whose classes lie in more than one component, the remaining pairs across
-components are compared.  Pairs inside a component could add nothing, so a group
-of copies costs as many comparisons as it has members, and none is left out.
-Pairs whose set sizes alone rule the similarity out are not compared.
+of its buckets, the class whose group keys most others have, and the confirmed
+links are merged to components.  Pairs inside a component could add nothing.  The
+classes of buckets that then lie in more than one component may still be linked
+across.  Their members are put in one order, the rarest first: two sets that are
+similar enough share one of their first members, and from the first common one on
+there are enough members left on both sides.  The pairs across components for
+which that holds, whatever their bucket, are compared; no other pair can be a link.
+So a group of copies costs about as many comparisons as it has members, and none is
+left out.
 
 Rows: null or empty text -> no shingles, linked with nothing, its own component.
 Fewer words than a shingle -> the whole sequence is its one shingle.  Rows with a
@@ -35,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import common
 from .components import components
@@ -160,17 +165,42 @@ def _sets(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBat
 
 
 def _shared(keys: DataFrame) -> DataFrame:
-    """Rows of (node, key) whose key more than one node has."""
-    held = keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
-    return keys.join(held, "key")
+    """The rows whose key more than one row has, and how many (held)."""
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "key")
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, n) of the tensored tables, without keys that one node has alone."""
-    sides = [_shared(nodes.select("node", F.explode(c).alias("key"))).groupBy("node").agg(F.collect_list("key").alias(c)) for c in "ab"]
-    both = sides[0].join(sides[1], "node").join(nodes.select("node", "n"), "node")
-    pairs = both.select("node", "n", F.explode("a").alias("ka"), "b").select("node", "n", "ka", F.explode("b").alias("kb"))
-    return _shared(pairs.select(F.xxhash64("ka", "kb").alias("key"), "node", "n"))
+    """(key, node, n, near) of the tensored tables, without keys that one node has
+    alone.  near: how often other nodes have the node's group keys."""
+    sides = [
+        _shared(nodes.select("node", F.explode(c).alias("key"))).groupBy("node").agg(F.collect_list("key").alias(c), F.sum("held").alias(f"near_{c}"))
+        for c in "ab"
+    ]
+    both = sides[0].join(sides[1], "node").join(nodes.select("node", "n"), "node").withColumn("near", F.col("near_a") + F.col("near_b"))
+    pairs = both.select("node", "n", "near", F.explode("a").alias("ka"), "b").select("node", "n", "near", "ka", F.explode("b").alias("kb"))
+    return _shared(pairs.select(F.xxhash64("ka", "kb").alias("key"), "node", "n", "near")).drop("held")
+
+
+def _prefixes(placed: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """(s, id, n, c, at): of each placed set, the rarest members in which it must
+    share one with a set similar enough, and their places in the order by rarity."""
+    members = placed.join(sets, "node").select("node", "n", "c", F.explode("members").alias("s"))
+    rare = members.groupBy("s").agg(F.count("*").alias("df"))
+    order = F.row_number().over(W.partitionBy("node").orderBy("df", "s"))
+    # a link of n has n * percent / 100 members in common, or more
+    return members.join(rare.where("df > 1"), "s", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("at", order).where(
+        ((F.col("n") - F.col("at") + 1) * 100 >= F.col("n") * p.percent) & (F.col("df") > 1)
+    )
+
+
+def _across(prefixes: DataFrame, p: Params) -> DataFrame:
+    """Pairs of sets of different components that may be similar enough: the members
+    from their first common one on suffice on both sides."""
+    x, y = (prefixes.select("s", *(F.col(k).alias(f"{k}{side}") for k in ("node", "n", "c", "at"))) for side in "xy")
+    least = (F.col("nx") + F.col("ny")) * p.percent
+    enough = [(F.col(f"n{k}") - F.col(f"at{k}") + 1) * (100 + p.percent) >= least for k in "xy"]
+    both = x.join(y, (x["s"] == y["s"]) & (F.col("cx") < F.col("cy")) & enough[0] & enough[1])
+    return both.select(F.col("nodex").alias("x"), F.col("nodey").alias("y")).distinct()
 
 
 def _fits(p: Params):
@@ -203,7 +233,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     )
     buckets = common.stored(_buckets(nodes), "buckets")
 
-    pivot = buckets.groupBy("key").agg(F.min(F.struct("n", "node")).alias("pivot"))
+    pivot = buckets.groupBy("key").agg(F.max(F.struct("near", "node", "n")).alias("pivot"))
     starred = buckets.join(pivot, "key").select(
         F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pivot.node").alias("y"), F.col("pivot.n").alias("ny")
     )
@@ -227,10 +257,8 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     placed = buckets.join(names, "node").join(first.withColumnRenamed("id", "leader"), "leader", "left")
     placed = placed.select("key", "node", "n", F.coalesce("component", "leader").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    placed = placed.join(mixed, "key")
-    left = placed.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    right = placed.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-    across = left.join(right, "key").where("cx < cy").where(_fits(p)).select("x", "y").distinct()
+    placed = placed.join(mixed, "key").select("node", "n", "c").distinct()
+    across = _across(common.stored(_prefixes(placed, sets, p), "prefixes"), p)
     known = tested.unionByName(tested.select(F.col("y").alias("x"), F.col("x").alias("y")))
     rest = common.stored(across.join(known, ["x", "y"], "left_anti"), "rest")
     more = by_leader(_links(rest, sets, p))
