@@ -25,6 +25,11 @@ def found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Number of matches, as a long."""
     return F.regexp_count(text, F.lit(pattern)).cast("long")

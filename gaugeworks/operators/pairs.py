@@ -17,8 +17,8 @@ from ..functions.stats import r4
 
 def shingled(files: DataFrame, k: int = 5) -> DataFrame:
     """path, grams: the distinct k-grams of a file's words."""
-    words = files.select("path", X.found(F.lower("content"), X.RUN).alias("_w"))
-    return words.select("path", F.array_sort(F.array_distinct(X.kgrams(F.col("_w"), k))).alias("grams"))
+    grams = X.let(X.found(F.lower("content"), X.RUN), lambda w: F.array_sort(F.array_distinct(X.kgrams(w, k))))
+    return files.select("path", grams.alias("grams"))
 
 
 def exact_classes(files: DataFrame) -> DataFrame:
