@@ -70,9 +70,9 @@ def _letters() -> np.ndarray:
 
 def grams(texts: list[str], p: Params) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hash buckets, index of the text of each), slice by slice over whole texts."""
-    low = [t.lower() for t in texts]
-    starts = np.cumsum([0] + [len(t) + 1 for t in low])
-    joined = " ".join(low) + " "
+    low = [f" {t.lower()} " for t in texts]  # a text's word edges are its own
+    starts = np.cumsum([0] + [len(t) for t in low])
+    joined = "".join(low)
     letters = _letters()
     for at in range(0, len(joined), p.slice_chars):
         end = min(len(joined), at + p.slice_chars)
