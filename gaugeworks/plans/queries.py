@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vocab
 from ..operators import aggregate as A
+from ..operators import blocks as B
+from ..operators import compress as C
 from ..operators import grading as G
 from ..operators import metrics
 from ..operators import pairs as P
@@ -237,6 +239,27 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.contained(probes, files(spark, sf_dir))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("path"), F.col("html").alias("content"))
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the pages, by brackets and triple quotes."""
+    return B.blocks(_pages(spark, sf_dir)).withColumn("kinds", F.array_join("kinds", " "))
+
+
+def block_proportions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.blocks(_pages(spark, sf_dir))
+    return B.proportions(rows).join(B.block_counts(rows), "path")
+
+
+def ncd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compression distances of the pairs of documents with similar shingles."""
+    pairs = P.jaccard_pairs(P.shingled(files(spark, sf_dir)))
+    return C.nearest(C.distances(pairs, files(spark, sf_dir)))
+
+
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of even and of odd ids as two snapshots of files n // 2: status."""
     from ..sources.snapshots import changed
@@ -250,7 +273,7 @@ _OWN = (
     lex_tokens, lex_token_counts, lex_words, lex_identifiers, lex_lines, lex_casing, lex_subwords, lex_kgrams, lang_detect, strip_comments,
     glob_ignore, agg_codebase, agg_incremental, history, compare, correlate, m_combinations, power_law, grade_metrics, grade_threshold,
     grade_files, overall, worst_offenders, learn_scalars, diagnose, score_aggregate, worst_files, dup_exact, dup_jaccard, contamination,
-    changed_files,
+    changed_files, blocks, block_proportions, ncd,
 )
 
 
