@@ -365,4 +365,21 @@ def oracle_sql() -> dict[str, str]:
     band = " ".join(f"WHEN cosine >= {lo} THEN round({p} + (cosine - {lo}) / ({hi} - {lo}) * ({q} - {p}))" for lo, p, hi, q in ((0.5, 90, 1.0, 100), (0.2, 70, 0.5, 90), (0.0, 50, 0.2, 70), (-0.3, 30, 0.0, 50), (-1.0, 0, -0.3, 30)))
     out["diagnose"] = f"{fm}{agg}, {flat}, {learned}, {sized}, co AS (SELECT 'quality' AS category, behavior, {cos} AS cosine FROM (SELECT *, coalesce({log}, 0) AS l FROM lw LEFT JOIN fl USING (grp, key)) GROUP BY behavior) SELECT *, greatest(0, least(100, CASE {band} ELSE 0 END))::BIGINT AS score FROM co"
     out["worst_files"] = f"{fm}, {learned}, {sized}, co AS (SELECT path, behavior, {cos} AS cosine FROM (SELECT path, lw.*, {log} AS l FROM lw JOIN (SELECT path, metric AS grp, concat('mean_', key) AS key, value FROM fm) USING (grp, key)) GROUP BY path, behavior) SELECT * FROM (SELECT path, 'quality' AS category, behavior, cosine, row_number() OVER (PARTITION BY behavior ORDER BY cosine, path) AS rank FROM co WHERE cosine <= -0.15) WHERE rank <= 2"
+    fin = "mean, round(sqrt(greatest(q / n - (s::DOUBLE / n) ** 2, 0)), 4) + 0.0 AS std, round(lo, 4) + 0.0 AS min, round(hi, 4) + 0.0 AS max"
+    out["agg_incremental"] = f"""{fm}, st AS (SELECT metric, key, count(*) AS n, sum(value::DECIMAL(38, 6)) AS s, sum(value * value) AS q, min(value) AS lo, max(value) AS hi FROM fm GROUP BY ALL),
+    o AS (SELECT metric, key, value AS o FROM fm WHERE ends_with(path, '/0')), nw AS (SELECT metric, key, value AS w FROM fm WHERE ends_with(path, '/1')),
+    sw AS (SELECT metric, key, n, s - coalesce(o, 0)::DECIMAL(38, 6) + coalesce(w, 0)::DECIMAL(38, 6) AS s, q - coalesce(o, 0) ** 2 + coalesce(w, 0) ** 2 AS q, least(lo, coalesce(w, 0)) AS lo, greatest(hi, coalesce(w, 0)) AS hi
+      FROM st LEFT JOIN o USING (metric, key) LEFT JOIN nw USING (metric, key))
+    SELECT metric, key, round(s::DOUBLE / n, 4) + 0.0 AS {fin} FROM sw"""
+    two = f"WITH {Q.long_form(['lexical_density', 'separator_counts'])}"
+    div = "round(coalesce({0} / nullif({1}, 0), 0), 4) + 0.0"
+    out["m_combinations"] = f"""{two}, k AS (SELECT path, concat(metric, '.', key) AS k, value AS v FROM fm)
+    SELECT path, a.k AS a, b.k AS b, round(a.v + b.v, 4) + 0.0 AS add, round(a.v - b.v, 4) + 0.0 AS sub_a_b, round(b.v - a.v, 4) + 0.0 AS sub_b_a, round(a.v * b.v, 4) + 0.0 AS mul,
+    {div.format('a.v', 'b.v')} AS div_a_b, {div.format('b.v', 'a.v')} AS div_b_a FROM k a JOIN k b USING (path) WHERE a.k < b.k"""
+    out["correlate"] = f"""{fm}, h AS (SELECT snapshot, concat(metric, '.mean_', key) AS name, mean AS v FROM (SELECT snapshot, metric, key, {_AGG} FROM fm GROUP BY ALL)),
+    g AS (SELECT n.name, s.snapshot, coalesce(h.v, 0) AS v FROM (SELECT DISTINCT name FROM h) n CROSS JOIN (SELECT DISTINCT snapshot FROM h) s LEFT JOIN h ON h.name = n.name AND h.snapshot = s.snapshot),
+    vary AS (SELECT * FROM g WHERE name IN (SELECT name FROM g GROUP BY name HAVING min(v) <> max(v))),
+    p AS (SELECT a.name AS a, b.name AS b, count(*)::DOUBLE AS n, sum(a.v) AS sx, sum(b.v) AS sy, sum(a.v * b.v) AS sxy, sum(a.v * a.v) AS sxx, sum(b.v * b.v) AS syy FROM vary a JOIN vary b USING (snapshot)
+      WHERE a.name < b.name AND NOT list_has_any(string_split_regex(regexp_extract(a.name, '^([^.]*)', 1), '[_,]'), string_split_regex(regexp_extract(b.name, '^([^.]*)', 1), '[_,]')) GROUP BY ALL)
+    SELECT * FROM (SELECT a, b, round(coalesce((n * sxy - sx * sy) / nullif(sqrt(greatest((n * sxx - sx * sx) * (n * syy - sy * sy), 0)), 0), 0), 4) + 0.0 AS correlation FROM p) WHERE abs(correlation) BETWEEN 0.5 AND 1"""
     return out
