@@ -273,3 +273,18 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of `documents`: 3-word shingles, similarity 0.85."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), Params(words=3, percent=85))
+
+
+def sql() -> str:
+    """The query in DuckDB's SQL: all pairs that share a shingle, and reachability."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{common.WORD}') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct([concat(w[i], ' ', w[i + 1], ' ', w[i + 2]) FOR i IN range(1, len(w) - 1)]) END AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b USING (g) WHERE a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT doc_id AS id, doc_id AS c FROM s UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.id)
+SELECT doc_id, any_value(len(g))::BIGINT AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM s JOIN r ON r.id = doc_id GROUP BY doc_id"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.sql()}
+    return {"op3_minhash_near_dedup": neardup.sql(), "op4_license_scan": licenses.sql()}
