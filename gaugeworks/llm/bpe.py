@@ -106,7 +106,8 @@ class Words:
     def encode(self, words: list[str]) -> list[tuple[str, int]]:
         """For each word its decimal ids joined by blanks, and their number."""
         plain = [w for w in words if w[0] != "\0" or w[1:] not in self.special]
-        ids = iter([e.ids for e in self.tok.encode_batch(plain, add_special_tokens=False)])
+        step = 4096  # the library's results are large
+        ids = (e.ids for k in range(0, len(plain), step) for e in self.tok.encode_batch(plain[k : k + step], add_special_tokens=False))
         out = []
         for w in words:
             got = [self.special[w[1:]]] if w[0] == "\0" and w[1:] in self.special else next(ids)

@@ -20,6 +20,7 @@ like any other; rows with a null id are never learned from.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -224,8 +225,9 @@ def learn(docs: DataFrame, usable: Column, p: Params = Params()) -> Model:
         .toArrow()
     )
     got = zip(sample["lang"].to_pylist(), sample["ids"], sample["counts"], strict=True)
-    found = [(lang, np.asarray(i.values, np.int64), np.asarray(c.values, np.float64)) for lang, i, c in got]
-    return fit(sorted(found, key=lambda r: (r[0], r[1].tolist(), r[2].tolist())), p)
+    found = [(lang, np.asarray(i.values, np.int32), np.asarray(c.values, np.float32)) for lang, i, c in got]
+    digest = lambda r: hashlib.blake2b(r[1].tobytes() + r[2].tobytes(), digest_size=16).digest()
+    return fit(sorted(found, key=lambda r: (r[0], digest(r))), p)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
