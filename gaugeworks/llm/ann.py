@@ -143,22 +143,31 @@ class Block:
         self.vectors = np.frombuffer(vectors, np.float64).reshape(-1, dim)
         self.codes = np.frombuffer(codes, np.uint8).reshape(len(self.ids), -1)
         self.words = self.codes.view(np.uint64)
-        self.order = [np.argsort(c, kind="stable") for c in self.codes.T]
-        self.ends = [np.concatenate([[0], np.cumsum(np.bincount(c, minlength=256))]) for c in self.codes.T]
+        self.columns = np.ascontiguousarray(self.codes.T)
+        self.order = [np.argsort(c, kind="stable") for c in self.columns]
+        self.counts = [np.bincount(c, minlength=256) for c in self.columns]
+        self.ends = [np.concatenate([[0], np.cumsum(n)]) for n in self.counts]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """All rows whose code differs in at most `radius` bits."""
-        m = self.codes.shape[1]
-        near = radius // m
+        near = radius // len(self.columns)
         if near >= 8:
             rows = np.arange(len(self.ids))
         else:
-            hit = np.zeros(len(self.ids), bool)
-            for s in range(m):
-                probes = np.flatnonzero(_BITS_OF[np.arange(256) ^ code[s]] <= near)
-                order, ends = self.order[s], self.ends[s]
-                for b in probes:
-                    hit[order[ends[b] : ends[b + 1]]] = True
+            hit, rest = np.zeros(len(self.ids), bool), np.arange(len(self.ids))
+            for s, byte in enumerate(code):
+                probed = _APART[byte] <= near
+                if self.counts[s][probed].sum() * 4 < len(rest):
+                    order, ends = self.order[s], self.ends[s]
+                    for b in np.flatnonzero(probed):
+                        hit[order[ends[b] : ends[b + 1]]] = True
+                    rest = rest[~hit[rest]]
+                else:  # most rows are in the probed buckets: ask each row for its own
+                    own = probed[self.columns[s][rest]]
+                    hit[rest[own]] = True
+                    rest = rest[~own]
+                if not len(rest):
+                    break
             rows = np.flatnonzero(hit)
         apart = np.bitwise_count(self.words[rows] ^ code.view(np.uint64)).sum(axis=1)
         return rows[apart <= radius]
@@ -177,7 +186,8 @@ class Block:
         return self.ids[rows[best]], score[best]
 
 
-_BITS_OF = np.array([bin(i).count("1") for i in range(256)])
+#: Differing bits of two bytes.
+_APART = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
 
 def _search(batches: Iterator[pa.RecordBatch], model, k: int) -> Iterator[pa.RecordBatch]:
