@@ -126,8 +126,9 @@ def in_order(docs: DataFrame, p: Params) -> DataFrame:
     own = F.struct(F.col("grp"), F.lit(False).alias("edge"))
     copy = F.struct(F.col("to").alias("grp"), F.lit(True).alias("edge"))
     placed = placed.select("doc_id", "text", F.explode(F.when(send, F.array(own, copy)).otherwise(F.array(own))).alias("at"))
-    placed = placed.select(F.col("at.grp").alias("grp"), F.col("at.edge").alias("edge"), "doc_id", "text")
-    return placed
+    # without nulls, so that no filter sets the two uses of the one exchange apart
+    group = F.coalesce(F.col("at.grp"), F.lit(0)).alias("grp")
+    return placed.select(group, F.coalesce(F.col("at.edge"), F.lit(False)).alias("edge"), "doc_id", "text")
 
 
 def fingerprints(docs: DataFrame, p: Params = Params()) -> DataFrame:
