@@ -161,6 +161,17 @@ def test_repeats_inside_one_document_are_left_alone(spark):
     assert passages.repeated_passages(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_a_passage_beside_many_open_chains_is_found():
+    # a line that b repeats 100 times, then a passage whose middle word was changed:
+    # its first part and the line's runs on all diagonals are open together
+    rng = np.random.default_rng(9)
+    fresh = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    p, line, one, two = passages.Params(), fresh(4), fresh(30), fresh(30)
+    a = np.concatenate([one, line[:1], fresh(4), two])
+    b = np.concatenate([one, line[:1], fresh(4), two, *(np.concatenate([line[:1], fresh(1)]) for _ in range(100))])
+    assert passages.matches(a, b, list(range(len(b))), p) == [(0, 64, 0, 64)]
+
+
 # -- mixing ---------------------------------------------------------------------
 
 
