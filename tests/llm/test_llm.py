@@ -172,6 +172,20 @@ def test_a_passage_beside_many_open_chains_is_found():
     assert passages.matches(a, b, list(range(len(b))), p) == [(0, 64, 0, 64)]
 
 
+def test_a_passage_is_found_from_the_diagonal_of_either_half():
+    rng = np.random.default_rng(10)
+    p, w = passages.Params(), rng.integers(1, 1 << 62, 60).astype(np.uint64)
+    one = np.concatenate([w[:30], rng.integers(1, 1 << 62, 1).astype(np.uint64), w[30:]])
+    many = np.concatenate([w[:12], one[30:31], w[12:24], one[30:31], w[24:36], one[30:31], w[36:]])  # three words more
+    a, b, c = (neardup.shingles(x, p.words) for x in (w, one, many))
+    for d in (0, 1):
+        assert passages.matches(a, b, [d], p) == [(0, 55, 0, 56)]
+        assert passages.matches(b, a, [-d], p) == [(0, 56, 0, 55)]
+    long = passages.Params(similarity=0.5)
+    for d in range(4):
+        assert passages.matches(a, c, [d], long) == [(0, 55, 0, 58)]
+
+
 # -- mixing ---------------------------------------------------------------------
 
 
