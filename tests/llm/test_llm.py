@@ -186,6 +186,21 @@ def test_a_passage_is_found_from_the_diagonal_of_either_half():
         assert passages.matches(a, c, [d], long) == [(0, 55, 0, 58)]
 
 
+def test_exact_repeats_of_later_members_are_linked(spark):
+    # documents 0 .. 5 share part of the passage only, those after them all of it; all
+    # else is their own: where the least shingle is in a part, the links fail
+    rng = random.Random(12)
+    texts, want = [], set()
+    for k in range(25):
+        p = prose(rng, 60, 10**7).split()
+        parts = [p[:30], p[30:], p[15:45], p[:25], p[35:], p[20:50]]
+        texts += [(100 * k + i, " ".join([prose(rng, 60, 10**7), *q, prose(rng, 60, 10**7)])) for i, q in enumerate(parts)]
+        texts += [(100 * k + 50 + i, " ".join([prose(rng, 60, 10**7), *p, prose(rng, 60, 10**7)])) for i in range(2)]
+        want |= {100 * k + 50, 100 * k + 51}
+    got = passages.repeated_passages(documents(spark, texts)).where("links > 0").collect()
+    assert {r["doc_id"] for r in got} == want and all((r["start_word"], r["n_words"]) == (60, 60) for r in got)
+
+
 # -- mixing ---------------------------------------------------------------------
 
 
