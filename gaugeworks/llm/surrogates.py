@@ -16,6 +16,11 @@ names) are replaced by keyed surrogates of the same kind and format.
 * Collision checks.  All distinct entities form one table with their surrogates.
   Where entities share a surrogate, or a surrogate is itself an entity of the corpus,
   all but the first get the surrogate of the next attempt, until nothing collides.
+  Names, secrets, keys and e-mail addresses get longer with the attempts, so they do
+  not run out.  The other kinds have formats of fixed length: one that is still not
+  settled after `Params.attempts` is too full to avoid its own entities.  Its entities
+  all take their first surrogates, which differ from each other and, after an exchange
+  of those that are their own, from the entity.  Anything left raises an error.
   These exceptions are broadcast up to `Params.exceptions` rows, and beyond that
   joined to the documents that they occur in.
 
@@ -36,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from . import common
 
@@ -200,6 +206,10 @@ _SYLLABLES = {
 }
 
 
+#: Attempts after which a name gets one syllable more, and a text of free length eight letters.
+_LONGER_NAME, _LONGER = 8, 20
+
+
 def script(word: str) -> str:
     c = max(word, default="a")
     return "cyrillic" if "Ѐ" <= c <= "ԯ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin" if c < "ɐ" else "other"
@@ -208,11 +218,12 @@ def script(word: str) -> str:
 def name(key: bytes, tweak: str, kind: str, word: str) -> str:
     """A lower-case name of the word's script; a given name ends as its gender asks."""
     where = script(word)
+    longer = int(tweak.rpartition("|")[2]) // _LONGER_NAME
     if where == "other":  # letters of the word's own alphabet, as far as 64 code points go
-        return "".join(chr((ord(c) & ~63) | (_hash(key, tweak, kind, word, k) % 64)) if chr(ord(c) | 63).isalpha() else c for k, c in enumerate(word))
+        return "".join(chr((ord(c) & ~63) | (_hash(key, tweak, kind, word, k) % 64)) if chr(ord(c) | 63).isalpha() else c for k, c in enumerate(word + word[-1:] * longer))
     syllables, male, female = (x.split() for x in _SYLLABLES[where])
     h, out = _hash(key, tweak, "given" if kind[:5] == "given" else kind, word), ""
-    for _ in range(3 if len(word) < 8 else 4):
+    for _ in range((3 if len(word) < 8 else 4) + longer):
         h, k = divmod(h, len(syllables))
         out += syllables[k]
     if kind == "given-f":
@@ -223,6 +234,7 @@ def name(key: bytes, tweak: str, kind: str, word: str) -> str:
 def surrogate(key: bytes, kind: str, x: str, attempt: int = 0) -> str:
     """The surrogate of a canonical entity."""
     tweak = f"{kind}|{attempt}"
+    more = "a" * (8 * (attempt // _LONGER))
     if kind == "family" or kind.startswith("given"):
         return name(key, tweak, kind, x)
     if kind == "card":
@@ -247,11 +259,11 @@ def surrogate(key: bytes, kind: str, x: str, attempt: int = 0) -> str:
     if kind == "email":
         local, _, domain = x.partition("@")
         head, _, top = domain.rpartition(".")
-        return f"{coded(key, tweak, f'{local}@{head}')}.{top}"
+        return f"{coded(key, tweak, f'{local}{more}@{head}')}.{top}"
     if kind == "key":
         n = len(re.match(r"AKIA|ASIA|gh[pousr]_|sk[-_]|xox[abp]-", x).group())
-        return x[:n] + coded(key, tweak, x[n:])
-    return coded(key, tweak, x)
+        return x[:n] + coded(key, tweak, x[n:] + more)
+    return coded(key, tweak, x + more if kind == "secret" else x)
 
 
 def _low(key: bytes, tweak: str, ip: str) -> str:
@@ -292,6 +304,45 @@ def _give(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(given, pa.string())], names=[*batch.schema.names, "surrogate"])
 
 
+#: Kinds with formats of fixed length, within which surrogates are permutations.
+_FIXED = ("iban", "mac", "ip", "phone", "ssn", "card")
+
+
+def format_of(kind: str, x: str) -> str:
+    """What the surrogates of an entity of a fixed format have in common with it."""
+    if kind == "mac":
+        return kind
+    return str(_address(x)) if kind == "ip" else re.sub("[a-z]", "a", re.sub("[0-9]", "0", x))
+
+
+def _formats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        form = [format_of(k, x) if k in _FIXED else "" for k, x in zip(*(batch.column(n).to_pylist() for n in ("kind", "entity")), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(form, pa.string())], names=[*batch.schema.names, "form"])
+
+
+def _full(table: DataFrame, clash: DataFrame, give, attempt: int) -> DataFrame:
+    """`table` with the formats of `clash` settled: distinct surrogates, none its own
+    entity.  `attempt` marks the rows that are not of the first attempt."""
+    formed = lambda df: df.mapInArrow(_formats, f"{_ENTITY}, form string")
+    full = formed(clash.select("kind", "entity")).where(F.col("kind").isin(*_FIXED)).select("kind", "form").distinct()
+    inside = formed(table.select("kind", "entity")).join(full, ["kind", "form"])
+    inside = common.stored(inside, "full")
+    again = common.stored(give(inside.select("kind", "entity", F.lit(0).alias("attempt"))).join(inside, ["kind", "entity"]), "again")
+    # entities that are their own surrogates exchange them, a single one with another entity
+    own = again.where("entity = surrogate")
+    rest = again.where("entity <> surrogate").groupBy("kind", "form").agg(F.min("entity").alias("entity"))
+    single = own.groupBy("kind", "form").agg(F.count("*").alias("n")).where("n = 1").select("kind", "form")
+    ring = own.select("kind", "form", "entity", "surrogate").unionByName(rest.join(single, ["kind", "form"]).join(again, ["kind", "form", "entity"]).select("kind", "form", "entity", "surrogate"))
+    by = W.partitionBy("kind", "form").orderBy("entity")
+    following = F.coalesce(F.lead("surrogate").over(by), F.first("surrogate").over(by))
+    ring = ring.select("kind", "entity", following.alias("turned"))
+    settled = again.join(ring, ["kind", "entity"], "left").select(
+        "kind", "entity", F.when(F.col("turned").isNull(), 0).otherwise(attempt).alias("attempt"), F.coalesce("turned", "surrogate").alias("surrogate")
+    )
+    return table.join(inside.select("kind", "entity"), ["kind", "entity"], "left_anti").unionByName(settled)
+
+
 def _class():
     """Kinds within which surrogates must differ: all given names are one."""
     return F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))
@@ -305,25 +356,39 @@ def assign(docs: DataFrame, p: Params) -> DataFrame:
     give = lambda df: df.mapInArrow(lambda b: _give(b, key), schema)
     table = common.stored(give(entities.withColumn("attempt", F.lit(0))), "surrogates")
     real = common.stored(table.select(_class().alias("c"), F.col("entity").alias("surrogate")).distinct(), "entities")
-    for _ in range(p.attempts):
+    def clashes(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows that share a surrogate with an earlier one, and whose surrogate is an entity."""
         named = table.withColumn("c", _class())
         shared = named.groupBy("c", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "entity", "kind")).alias("first")).where("n > 1")
         shared = named.join(shared, ["c", "surrogate"]).where(F.struct("attempt", "entity", "kind") != F.col("first"))
         own = named.join(real, ["c", "surrogate"], "left_semi")
-        clash = common.stored(shared.select("kind", "entity", "attempt").unionByName(own.select("kind", "entity", "attempt")).distinct(), "clashes")
+        return shared.select("kind", "entity", "attempt"), own.select("kind", "entity", "attempt")
+
+    for k in range(p.attempts + 1):
+        shared, own = clashes(table)
+        clash = common.stored(shared.unionByName(own).distinct(), "clashes")
         if clash.isEmpty():
-            break
-        again = give(clash.withColumn("attempt", F.col("attempt") + 1))
-        table = common.stored(table.join(clash.select("kind", "entity"), ["kind", "entity"], "left_anti").unionByName(again), "surrogates")
+            return table
+        if k < p.attempts:
+            again = give(clash.withColumn("attempt", F.col("attempt") + 1))
+            table = common.stored(table.join(clash.select("kind", "entity"), ["kind", "entity"], "left_anti").unionByName(again), "surrogates")
+    table = common.stored(_full(table, clash, give, p.attempts + 1), "surrogates")
+    shared, own = clashes(table)
+    left = shared.unionByName(own.where(~F.col("kind").isin(*_FIXED))).unionByName(table.where("entity = surrogate").select("kind", "entity", "attempt"))
+    if not left.isEmpty():
+        raise RuntimeError(f"surrogates collide after {p.attempts} attempts")
     return table
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch], key: bytes, sent, names: list[str]) -> Iterator[pa.RecordBatch]:
-    attempts = sent.value
+    exceptions = sent.value
     known: dict[tuple, str] = {}
 
     def given(f: Found, own: dict) -> str:
-        at = (f.kind, f.canonical, own.get((f.kind, f.canonical)) or attempts.get((f.kind, f.canonical), 0))
+        at = (f.kind, f.canonical)
+        other = own.get(at) or exceptions.get(at)
+        if other is not None:
+            return other
         if at not in known:
             if len(known) > 100_000:
                 known.clear()
@@ -336,7 +401,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch], key: bytes, sent, names: list[st
         for text, own in zip(batch.column("text").to_pylist(), others, strict=True):
             found = detect(text or "")
             if found:
-                mine = {(o["kind"], o["entity"]): o["attempt"] for o in own or []}
+                mine = {(o["kind"], o["entity"]): o["surrogate"] for o in own or []}
                 parts, at = [], 0
                 for f in found:
                     parts += [text[at : f.start], dressed(f.kind, text[f.start : f.end], f.canonical, given(f, mine))]
@@ -362,7 +427,7 @@ def replace(docs: DataFrame, p: Params = Params()) -> DataFrame:
     spark, key = docs.sparkSession, p.key
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_entities", "entity_kinds", "_own", "_row")])
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    again = common.stored(assign(docs, p).where("attempt > 0").select("kind", "entity", "attempt"), "exceptions")
+    again = common.stored(assign(docs, p).where("attempt > 0").select("kind", "entity", "surrogate"), "exceptions")
     names = [*docs.columns, "n_entities", "entity_kinds"]
     schema = T.StructType([*docs.schema.fields, T.StructField("n_entities", T.LongType()), T.StructField("entity_kinds", T.StringType())])
     few = again.limit(p.exceptions + 1).toArrow().to_pylist()
@@ -370,9 +435,9 @@ def replace(docs: DataFrame, p: Params = Params()) -> DataFrame:
         row = F.sha2(F.col("text").cast("binary"), 256).cast("binary")
         docs = docs.withColumn("_row", row)
         own = docs.select("_row", "text").mapInArrow(_mentions, f"_row binary, {_ENTITY}").join(again, ["kind", "entity"])
-        own = own.groupBy("_row").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("_own"))
+        own = own.groupBy("_row").agg(F.collect_set(F.struct("kind", "entity", "surrogate")).alias("_own"))
         docs, few = docs.join(own, "_row", "left").drop("_row"), []
-    sent = spark.sparkContext.broadcast({(r["kind"], r["entity"]): r["attempt"] for r in few})
+    sent = spark.sparkContext.broadcast({(r["kind"], r["entity"]): r["surrogate"] for r in few})
     return docs.mapInArrow(lambda b: _rewrite(b, key, sent, names), schema)
 
 

@@ -456,3 +456,19 @@ def test_pipeline(spark, odd):
         at = out
     assert at.count() > 0 and "ids_sha256" in at.columns
     assert cp.encode(spark, cp.mix(spark, docs.limit(0), ""), "").count() == 0
+
+
+def test_surrogates_of_full_formats(spark):
+    # three quarters of all addresses of one private range: most surrogates are entities
+    ips = [f"192.168.{k >> 8}.{k & 255}" for k in range(3 << 14)]
+    docs = documents(spark, [" ".join(ips[k : k + 512]) for k in range(0, len(ips), 512)])
+    rows = surrogates.assign(docs, surrogates.Params(attempts=1)).collect()
+    assert {r["entity"] for r in rows} == set(ips) and len({r["surrogate"] for r in rows}) == len(rows) == len(ips)
+    assert all(r["surrogate"] != r["entity"] and r["surrogate"].startswith("192.168.") for r in rows)
+
+
+def test_surrogates_get_longer():
+    key = b"k"
+    for kind, word in (("secret", "****"), ("given-f", "anna"), ("family", "李"), ("key", "AKIA" + "A" * 16), ("email", "_@x.org")):
+        few = {surrogates.surrogate(key, kind, word, n) for n in range(4)}
+        assert min(len(surrogates.surrogate(key, kind, word, n)) for n in (24, 39)) > max(map(len, few))
