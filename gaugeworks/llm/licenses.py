@@ -16,6 +16,7 @@ and null ids are scanned like any other.
 
 from __future__ import annotations
 
+import pkgutil
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,6 +81,20 @@ Unless required by applicable law or agreed to in writing, software distributed
     "rights-reserved-notice": "All rights reserved.",
 }
 
+#: Full licence texts shipped as files of `license_texts`, by SPDX id.
+TEXTS = (
+    "Apache-2.0", "Artistic-1.0-Perl", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0",
+    "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense",
+)
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def full_texts() -> dict[str, str]:
+    """The shipped texts; those with an appendix also without it, as `<id>-terms`."""
+    out = {n: pkgutil.get_data(__package__, f"license_texts/{n}.txt").decode("utf-8") for n in TEXTS}
+    return out | {f"{n}-terms": t[: t.index(_END) + len(_END)] for n, t in out.items() if _END in t}
+
+
 _COPYRIGHT = r"^\s*\W*(copyright\b|\(c\)|©)[^a-z]*(\(c\)|©|[0-9]{4})"
 
 
@@ -126,7 +141,7 @@ def scan(docs: DataFrame, known: Mapping[str, str] = KNOWN) -> DataFrame:
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     """Known licences among the texts and lines of `documents`."""
-    found = scan(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scan(common.table(spark, sf_dir, "documents").select("doc_id", "text"), KNOWN | full_texts())
     return found.withColumn("notices", F.array_join("notices", " "))
 
 
@@ -138,7 +153,7 @@ def _sql_line(x: str) -> str:
 
 
 def sql() -> str:
-    """The query in DuckDB's SQL."""
+    """The query in DuckDB's SQL, over `KNOWN`: without the full texts of `TEXTS`."""
     lines = "list_filter([{} FOR x IN string_split(coalesce({}, ''), chr(10))], lambda y: coalesce(y <> '', false))"
     body = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in sorted(KNOWN.items()))
     longest = max(len(x) for x in KNOWN.values()) * 2

@@ -252,6 +252,14 @@ def test_licence_sql(spark):
     assert sorted(want.fetchall(), key=repr) == sorted(map(tuple, licenses.op4_license_scan(spark, SF).select(*names).collect()), key=repr)
 
 
+def test_full_licence_texts(spark, tmp_path):
+    known = licenses.full_texts()
+    names = [*licenses.TEXTS, "Apache-2.0-terms"]
+    documents(spark, [f"Copyright (c) 2021 A. Person\n{known[n].upper()}" for n in names]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.op4_license_scan(spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(len(names))] == names
+
+
 # -- neighbours -----------------------------------------------------------------
 
 
