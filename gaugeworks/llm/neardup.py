@@ -245,6 +245,10 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     of_node = docs.join(by_id, docs["doc_id"] == by_id["leader"]).select("node", "text")
     raw = of_node.mapInArrow(lambda b: _sets(b, p), "node binary, members array<long>")
     sets = common.stored(raw, "sets")
+    # rows of the same id and text have one set: its members are counted
+    if not sets.groupBy("node").count().where("count > 1").isEmpty():
+        repeated, sets = sets, common.stored(sets.dropDuplicates(["node"]), "sets")
+        common.forget(repeated)
     names = nodes.select("node", "leader")
 
     def by_leader(links: DataFrame) -> DataFrame:

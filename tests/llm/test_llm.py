@@ -96,6 +96,16 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert neardup.near_duplicates(documents(spark, odd).limit(0)).count() == 0
 
 
+def test_repeated_rows_have_one_set(spark, monkeypatch):
+    rng, seen = random.Random(11), []
+    base, prefixes = prose(rng, 60).split(), neardup._prefixes
+    texts = {k: " ".join([*base[:50 - k], *prose(rng, 10 + k).split()]) for k in range(12)} | {k: " ".join(base + [f"e{k}"]) for k in range(20, 24)}
+    monkeypatch.setattr(neardup, "_prefixes", lambda placed, sets, p: seen.append([r["node"] for r in sets.select("node").collect()]) or prefixes(placed, sets, p))
+    got = neardup.near_duplicates(documents(spark, [*texts.items()] * 2), neardup.Params(words=3, percent=85)).collect()
+    assert seen[0] and len(seen[0]) == len(set(map(bytes, seen[0])))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == near_truth(texts, 3, 85)
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(k, k + 1) for k in range(500, 600)] + [(7, 7), (None, 3)]
