@@ -3,7 +3,7 @@
 Scratch tables
     Lineage is cut by writing Parquet below the shared folder that the cluster
     names in ``spark.checkpoint.dir``; only where that setting is absent (local
-    tests) a temporary folder of this process is used.
+    tests, local master only) a temporary folder of this process is used.
 
 Shipping code
     Python kernels are pickled by value, so executors need only numpy and
@@ -15,7 +15,9 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,8 @@ def scratch_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="gaugeworks-"))
     return _own[0]
@@ -71,3 +75,32 @@ def slots(spark: SparkSession) -> int:
 def part_of(column, modulus: int):
     """crc32 of a value's text, modulo `modulus` (null for a null)."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
+
+
+#: Bytes of text that a kernel works on at once; a longer text is a slice of its own.
+SLICE_BYTES = 1 << 22
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `most` bytes of a string column, whatever the
+    length of its rows; no empty ones."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        at, held = 0, 0
+        for k, n in enumerate(size.tolist()):
+            if held and held + n > most:
+                yield batch.slice(at, k - at)
+                at, held = k, 0
+            held += n
+        if at < batch.num_rows:
+            yield batch.slice(at)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

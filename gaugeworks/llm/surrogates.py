@@ -4,15 +4,17 @@ Detected entities (e-mail addresses, telephone, card, account and social securit
 numbers, IP and hardware addresses, access keys, stated passwords, titled person
 names) are replaced by keyed surrogates of the same kind and format.
 
-* Coded entities.  The characters of the canonical form (case, blanks and
-  punctuation aside) are one number of the format's mixed radix, and a keyed Feistel
-  network permutes the numbers of that format.  So the same entity has the same
-  surrogate everywhere, in whatever spelling, and two entities cannot share one.
-  Valid card and account numbers stay valid, invalid ones invalid; addresses stay
-  public or private; case and punctuation follow each spelling.
+* Coded entities.  The letters and digits of the canonical form (case, blanks and
+  punctuation aside), each in its class (digits, small or capital letters of its
+  script), are permuted by a keyed Feistel network over two interleaved halves, whose
+  keystream is as long as the half.  So every character depends on all others, the
+  same entity has the same surrogate everywhere, in whatever spelling, and two
+  entities cannot share one.  Valid card and account numbers stay valid, invalid ones
+  invalid; addresses stay public or private; case and punctuation follow each spelling.
 * Names.  Given and family names are replaced word by word, so "Mr. John Smith" and
   "Mr. Smith" stay one person: a name of the same script, of the title's gender, with
-  the same letter case, spelled from keyed syllables.
+  the same letter case, spelled from keyed syllables; in a script without a list of
+  syllables here, from letters of its own.
 * Collision checks.  All distinct entities form one table with their surrogates.
   Where entities share a surrogate, or a surrogate is itself an entity of the corpus,
   all but the first get the surrogate of the next attempt, until nothing collides.
@@ -25,17 +27,21 @@ names) are replaced by keyed surrogates of the same kind and format.
   joined to the documents that they occur in.
 
 Rows: null text stays null, text without entities is unchanged, and so are all other
-columns.  Entities do not span lines.  A line of any length is searched whole.
-Repeated rows and null ids are treated like any other row.
+columns.  Entities do not span lines.  A line or an entity of any length is taken
+whole.  A stated password without a letter or digit (a mask) is no entity.  Letter
+case is folded character by character.  Repeated rows and null ids are
+treated like any other row.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,7 +55,7 @@ from . import common
 @dataclass(frozen=True)
 class Params:
     key: bytes = b"gaugeworks"  #: the secret that surrogates depend on
-    attempts: int = 40
+    attempts: int = 12
     exceptions: int = 100_000  #: largest table of exceptions that is broadcast
 
 
@@ -66,8 +72,8 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 #: The kinds in order of precedence; of each, the group x is what is replaced.
 PATTERNS = {
-    "email": r"(?P<x>[\w.%+-]*[\w%+-]@[\w-]+(?:\.[\w-]+)+)",
-    "secret": r"(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?(?P<x>[^\s\"',;]{4,})",
+    "email": r"(?<![\w.%+-])(?P<x>[\w.%+-]*[\w%+-]@[\w-]+(?:\.[\w-]+)+)",
+    "secret": r"(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?(?P<x>(?=[^\s\"',;]*[^\W_])[^\s\"',;]{4,})",
     "key": r"(?<!\w)(?P<x>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk[-_][A-Za-z0-9_-]{20,}|xox[abp]-[A-Za-z0-9-]{10,})(?!\w)",
     "iban": r"(?<!\w)(?P<x>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)",
     "mac": r"(?<![\w:])(?P<x>[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5})(?![\w:])",
@@ -79,7 +85,8 @@ PATTERNS = {
 }
 _ONE = {k: re.compile(v) for k, v in PATTERNS.items()}
 _LINE = re.compile(rf"[\d@]|(?i:pass|pwd|secret|token|api[_-]?key)\w*\s*[=:]|(?:{_TITLE})\.? ")
-_NEEDS = {"email": "@"} | {k: "0123456789" for k in ("mac", "ip", "phone", "ssn", "card", "iban")}
+_DIGIT = re.compile(r"\d")
+_NUMBERED = ("mac", "ip", "phone", "ssn", "card", "iban")
 
 
 @dataclass(frozen=True)
@@ -90,14 +97,25 @@ class Found:
     canonical: str  #: what the surrogate depends on
 
 
+def fold(x: str) -> str:
+    """Small letters, of as many characters as `x` has."""
+    low = x.lower()
+    return low if len(low) == len(x) else "".join(c.lower()[0] for c in x)
+
+
+def _capital(c: str) -> str:
+    up = c.upper()
+    return up if len(up) == 1 else c
+
+
 def canonical(kind: str, x: str) -> str:
     """One form for all spellings of an entity."""
     if kind == "phone":
         digits = re.sub(r"\D", "", x)
         return digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
     if kind in ("card", "ssn", "mac", "iban"):
-        return re.sub(r"\W", "", x).lower()
-    return x.lower() if kind in ("email", "person") else x
+        return fold(re.sub(r"\W", "", x))
+    return fold(x) if kind in ("email", "person") else x
 
 
 def _names(x: str, at: int, gender: str) -> Iterator[Found]:
@@ -106,7 +124,7 @@ def _names(x: str, at: int, gender: str) -> Iterator[Found]:
     last = max(m.start() for m in re.finditer(r"\S+", x))
     for m in words:
         kind = "family" if m.start() >= last else f"given-{gender}"
-        yield Found(at + m.start(), at + m.end(), kind, m.group().lower())
+        yield Found(at + m.start(), at + m.end(), kind, fold(m.group()))
 
 
 def detect(text: str) -> list[Found]:
@@ -117,9 +135,9 @@ def detect(text: str) -> list[Found]:
     at = 0
     for line in text.split("\n"):
         if _LINE.search(line):
-            taken = bytearray(len(line))
+            taken, numbered = bytearray(len(line)), _DIGIT.search(line)
             for kind, pattern in _ONE.items():
-                if kind in _NEEDS and not any(c in line for c in _NEEDS[kind]):
+                if kind in _NUMBERED and not numbered or kind == "email" and "@" not in line:
                     continue
                 for m in pattern.finditer(line):
                     a, b = m.span("x")
@@ -140,7 +158,8 @@ def _hash(key: bytes, *parts: object) -> int:
 
 
 def permute(key: bytes, tweak: str, value: int, size: int) -> int:
-    """A keyed permutation of 0 .. size - 1: Feistel rounds, walked until in range."""
+    """A keyed permutation of 0 .. size - 1, size up to 2**256: Feistel rounds, walked
+    until in range."""
     half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
     mask = (1 << half) - 1
     while True:
@@ -152,26 +171,46 @@ def permute(key: bytes, tweak: str, value: int, size: int) -> int:
             return value
 
 
-_CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_DIGITS, _SMALL, _CAPITAL = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_HEX = _DIGITS + "abcdef"
+_ROUNDS = 10
+
+
+@lru_cache(4096)
+def _alphabet(c: str) -> str:
+    """The class of a character: digits, small or capital letters; beyond ASCII those of
+    its script among the 256 code points around it.  Empty for all others."""
+    if c < "\x80":
+        return next((a for a in (_DIGITS, _SMALL, _CAPITAL) if c in a), "")
+    kind = unicodedata.category(c)
+    if kind not in ("Lu", "Ll", "Lt", "Lo", "Nd"):
+        return ""
+    of = lambda x: unicodedata.name(x, " ").split()[0]
+    near = (chr(k) for k in range(ord(c) & ~255, (ord(c) | 255) + 1))
+    return "".join(x for x in near if unicodedata.category(x) == kind and of(x) == of(c) and len(x.lower()) == len(x.upper()) == 1)
 
 
-def coded(key: bytes, tweak: str, text: str, classes: tuple[str, ...] = _CLASSES) -> str:
+def coded(key: bytes, tweak: str, text: str, alphabet=_alphabet) -> str:
     """A permutation of the texts of one format: each character stays in its class,
-    others stay as they are."""
-    of = [next((c for c in classes if x in c), None) for x in text]
-    value, size = 0, 1
-    for x, c in zip(text, of, strict=True):
-        if c:
-            value, size = value * len(c) + c.index(x), size * len(c)
-    form = "".join(x if c is None else str(classes.index(c)) for x, c in zip(text, of, strict=True))
-    value = permute(key, f"{tweak}|{form}", value, size)
-    out = []
-    for x, c in zip(reversed(text), reversed(of), strict=True):
-        if c:
-            value, k = divmod(value, len(c))
-            x = c[k]
-        out.append(x)
-    return "".join(reversed(out))
+    those without a class (of two or more) stay as they are."""
+    of = [a if c in (a := alphabet(c)) and len(a) > 1 else "" for c in text]
+    free = [k for k, a in enumerate(of) if a]
+    if not free:
+        return text
+    form = hashlib.blake2b("\0".join(a[0] if a else f"={c}" for c, a in zip(text, of, strict=True)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    sides = [[of[k].index(text[k]) for k in free[s::2]] for s in (0, 1)]
+    sizes = [[len(of[k]) for k in free[s::2]] for s in (0, 1)]
+    for r in range(_ROUNDS):
+        this, other = sides[r % 2], sides[1 - r % 2]
+        said = b"".join(x.to_bytes(2, "big") for x in other)
+        seed = hashlib.blake2b(b"%d|%b|%b|%b" % (r, tweak.encode("utf-8", "surrogatepass"), form, said), key=key[:64]).digest()
+        stream = seed if 4 * len(this) <= len(seed) else hashlib.shake_256(seed).digest(4 * len(this))
+        sides[r % 2] = [(x + int.from_bytes(stream[4 * k : 4 * k + 4], "big")) % n for k, (x, n) in enumerate(zip(this, sizes[r % 2], strict=True))]
+    out = list(text)
+    for s in (0, 1):
+        for k, x in zip(free[s::2], sides[s], strict=True):
+            out[k] = of[k][x]
+    return "".join(out)
 
 
 def _walk(step, start: str, keeps) -> str:
@@ -198,45 +237,57 @@ def _address(ip: str) -> tuple:
     return (a if a in (10, 127, 0) else (a, b) if special and a < 224 else 224 if special else -1,)
 
 
-#: Syllables of given and family names, by script.
+#: By script, syllables of names, and the endings of male and female given names.
 _SYLLABLES = {
-    "latin": ("ba be bi bo da de di do fa fe ga ge ha he ja jo ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi wa wi za", "n l r s", "a"),
-    "cyrillic": ("ба бе би бо ва ве ви во га да де ди до за зе ка ке ки ко ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се си со та те ти то фа ха", "н л р с", "а"),
-    "greek": ("βα βε βι βο γα δα δε δι δο ζα θα θε κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο πα πε ρα ρε ρι ρο σα σε σι σο τα τε τι το φα φι χα", "ν λ ρ ς", "α"),
+    "LATIN": ("ba be bi bo da de di do fa fe ga ge ha he ja jo ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi wa wi za", "n l r s", "a"),
+    "CYRILLIC": ("ба бе би бо ва ве ви во га да де ди до за зе ка ке ки ко ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се си со та те ти то фа ха", "н л р с", "а"),
+    "GREEK": ("βα βε βι βο γα δα δε δι δο ζα θα θε κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο πα πε ρα ρε ρι ρο σα σε σι σο τα τε τι το φα φι χα", "ν λ ρ ς", "α"),
+    "HEBREW": ("בא בי גו גל דו די הד חי טל יו כר לי לו מא מי נו נע סי עו פי צו קו רו רי שי תו", "ן ל ם ר", "ה"),
+    "ARABIC": ("با بي جا حا خا دا را زا سا سي شا صا طا عا فا كا لا ما مي نا ني ها وا يا", "ن ل ر د", "ة"),
+    "DEVANAGARI": ("का कि गा गी चा जा जि ता ति दा दि ना नि पा पि बा मा मि या रा रि ला लि वा वि शा सा सि हा", "न ल र श", "ी"),
+    "GEORGIAN": ("ბა გა გი და დი ვა ზა თა კა ლა ლი მა მი ნა ნი პა რა რი სა სი ტა ფა შა ჩა ხა", "ძე ლ ნ რ", "ო"),
+    "ARMENIAN": ("բա գա դա դի զա թա կա կի լա լի մա մի նա նի պա ռա սա սի տա տի փա շա", "ն կ մ ր", "ա"),
+    "CJK": ("王 李 张 刘 陈 杨 赵 黄 周 吴 徐 孙 胡 朱 高 林 何 郭 马 罗 梁 宋 郑 谢 韩 唐 冯 于 董 萧 程 曹 袁 邓 许 傅 沈 曾 彭 吕", "伟 强 军 勇 涛 杰 明 刚", "芳 娜 静 丽 艳 娟 霞 敏"),
+    "HANGUL": ("김 이 박 최 정 강 조 윤 장 임 한 오 서 신 권 황 안 송 류 홍 민 지 현 도 하 유 은 수", "준 호 훈 석", "희 영 미 아"),
+    "HIRAGANA": ("あ い う え お か き く こ さ し す た ち な の は ひ ま み も や ゆ よ ら り る わ", "た ろ と お", "こ み か え"),
+    "KATAKANA": ("ア イ エ オ カ キ ク コ サ シ ス タ チ ナ ノ ハ ヒ マ ミ モ ヤ ユ ヨ ラ リ ル ワ", "ト ロ ス ン", "コ ミ カ ナ"),
 }
-
+#: Scripts in which a syllable is a character: a name has as many as the entity.
+_CHARACTERS = ("CJK", "HANGUL", "HIRAGANA", "KATAKANA")
 
 #: Attempts after which a name gets one syllable more, and a text of free length eight letters.
-_LONGER_NAME, _LONGER = 8, 20
+_LONGER_NAME, _LONGER = 2, 2
 
 
 def script(word: str) -> str:
-    c = max(word, default="a")
-    return "cyrillic" if "Ѐ" <= c <= "ԯ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin" if c < "ɐ" else "other"
+    return unicodedata.name(max(word, default="a"), " ").split()[0]
 
 
-def name(key: bytes, tweak: str, kind: str, word: str) -> str:
+def name(key: bytes, attempt: int, kind: str, word: str) -> str:
     """A lower-case name of the word's script; a given name ends as its gender asks."""
-    where = script(word)
-    longer = int(tweak.rpartition("|")[2]) // _LONGER_NAME
-    if where == "other":  # letters of the word's own alphabet, as far as 64 code points go
-        return "".join(chr((ord(c) & ~63) | (_hash(key, tweak, kind, word, k) % 64)) if chr(ord(c) | 63).isalpha() else c for k, c in enumerate(word + word[-1:] * longer))
+    where, tweak, longer = script(word), f"{kind}|{attempt}", attempt // _LONGER_NAME
+    if where not in _SYLLABLES:
+        return coded(key, tweak, word + word[-1:] * longer)
     syllables, male, female = (x.split() for x in _SYLLABLES[where])
     h, out = _hash(key, tweak, "given" if kind[:5] == "given" else kind, word), ""
-    for _ in range((3 if len(word) < 8 else 4) + longer):
+    gendered, by_character = kind in ("given-m", "given-f"), where in _CHARACTERS
+    ending = {"given-f": female, "given-n": [""], "family": [""] if by_character else male}.get(kind, male)
+    for _ in range((max(1, len(word) - gendered) if by_character else 3 if len(word) < 8 else 4) + longer):
         h, k = divmod(h, len(syllables))
         out += syllables[k]
-    if kind == "given-f":
-        return out[:-1] + female[0]
-    return out + male[h % len(male)] if kind != "given-n" else out
+    if kind == "given-f" and not by_character:
+        out = out[:-1]
+    return out + ending[h % len(ending)]
 
 
 def surrogate(key: bytes, kind: str, x: str, attempt: int = 0) -> str:
     """The surrogate of a canonical entity."""
     tweak = f"{kind}|{attempt}"
-    more = "a" * (8 * (attempt // _LONGER))
+    # a text of free length without a letter or digit of its own gets some at once
+    bare = kind in ("secret", "key", "email") and not any(map(_alphabet, x.partition("@")[0] if kind == "email" else x))
+    more = "a" * (8 * (attempt // _LONGER + bare))
     if kind == "family" or kind.startswith("given"):
-        return name(key, tweak, kind, x)
+        return name(key, attempt, kind, x)
     if kind == "card":
         return _walk(lambda s: s[0] + coded(key, tweak, s[1:]), x, luhn)
     if kind == "ip":
@@ -245,8 +296,8 @@ def surrogate(key: bytes, kind: str, x: str, attempt: int = 0) -> str:
             value = permute(key, tweak, int.from_bytes(bytes(map(int, s.split("."))), "big"), 1 << 32)
             return ".".join(map(str, value.to_bytes(4, "big")))
 
-        # within a small special range only the free bytes are walked
-        return _walk(step, x, _address) if _address(x) == (-1,) else ".".join(x.split(".")[:2]) + "." + _low(key, tweak, x)
+        # within a small special range only the free bytes are permuted
+        return _walk(step, x, _address) if _address(x) == (-1,) else _low(key, tweak, x)
     if kind == "iban":
         country, check, bban = x[:2].upper(), x[2:4], x[4:].upper()
         out = coded(key, tweak + country, bban)
@@ -255,7 +306,7 @@ def surrogate(key: bytes, kind: str, x: str, attempt: int = 0) -> str:
     if kind == "phone":
         return _walk(lambda s: coded(key, tweak, s), x, lambda s: s[0] in "01")
     if kind == "mac":
-        return coded(key, tweak, x, ("0123456789abcdef",))
+        return coded(key, tweak, x, lambda c: _HEX)
     if kind == "email":
         local, _, domain = x.partition("@")
         head, _, top = domain.rpartition(".")
@@ -267,8 +318,11 @@ def surrogate(key: bytes, kind: str, x: str, attempt: int = 0) -> str:
 
 
 def _low(key: bytes, tweak: str, ip: str) -> str:
-    a, b, c, d = map(int, ip.split("."))
-    return ".".join(map(str, divmod(permute(key, f"{tweak}|{a}.{b}", c * 256 + d, 1 << 16), 256)))
+    """A special address with its free bytes permuted: three behind 0, 10 and 127, else two."""
+    octets = list(map(int, ip.split(".")))
+    n = 1 if octets[0] in (0, 10, 127) else 2
+    value = permute(key, f"{tweak}|{octets[:n]}", int.from_bytes(bytes(octets[n:]), "big"), 1 << (8 * (4 - n)))
+    return ".".join(map(str, octets[:n] + list(value.to_bytes(4 - n, "big"))))
 
 
 def dressed(kind: str, spelled: str, form: str, given: str) -> str:
@@ -283,15 +337,15 @@ def dressed(kind: str, spelled: str, form: str, given: str) -> str:
         return "".join(c if not c.isdigit() or (skip := skip - 1) >= 0 else next(source) for c in spelled)
     if kind in ("card", "ssn", "mac", "iban"):
         source = iter(given)
-        return "".join((y.upper() if c.isupper() or (kind == "iban") else y) if c.isalnum() and (y := next(source)) else c for c in spelled)
-    return "".join(y.upper() if c.isupper() else y for c, y in zip(spelled, given, strict=True)) if kind == "email" else given
+        return "".join((_capital(y) if c.isupper() or (kind == "iban") else y) if c.isalnum() and (y := next(source)) else c for c in spelled)
+    return "".join(_capital(y) if c.isupper() else y for c, y in zip(spelled, given, strict=True)) if kind == "email" else given
 
 
 _ENTITY = "kind string, entity string"
 
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.slices(batches, "text"):
         found = {(f.kind, f.canonical) for t in batch.column("text") for f in detect(t.as_py() or "")}
         rows = sorted(found)
         yield pa.record_batch([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["kind", "entity"])
@@ -356,6 +410,7 @@ def assign(docs: DataFrame, p: Params) -> DataFrame:
     give = lambda df: df.mapInArrow(lambda b: _give(b, key), schema)
     table = common.stored(give(entities.withColumn("attempt", F.lit(0))), "surrogates")
     real = common.stored(table.select(_class().alias("c"), F.col("entity").alias("surrogate")).distinct(), "entities")
+
     def clashes(table: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The rows that share a surrogate with an earlier one, and whose surrogate is an entity."""
         named = table.withColumn("c", _class())
@@ -371,7 +426,8 @@ def assign(docs: DataFrame, p: Params) -> DataFrame:
             return table
         if k < p.attempts:
             again = give(clash.withColumn("attempt", F.col("attempt") + 1))
-            table = common.stored(table.join(clash.select("kind", "entity"), ["kind", "entity"], "left_anti").unionByName(again), "surrogates")
+            before, table = table, common.stored(table.join(clash.select("kind", "entity"), ["kind", "entity"], "left_anti").unionByName(again), "surrogates")
+            common.forget(before)
     table = common.stored(_full(table, clash, give, p.attempts + 1), "surrogates")
     shared, own = clashes(table)
     left = shared.unionByName(own.where(~F.col("kind").isin(*_FIXED))).unionByName(table.where("entity = surrogate").select("kind", "entity", "attempt"))
@@ -380,7 +436,7 @@ def assign(docs: DataFrame, p: Params) -> DataFrame:
     return table
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch], key: bytes, sent, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _rewrite(batches: Iterator[pa.RecordBatch], key: bytes, sent, names: list[str], own_column: str) -> Iterator[pa.RecordBatch]:
     exceptions = sent.value
     known: dict[tuple, str] = {}
 
@@ -395,10 +451,10 @@ def _rewrite(batches: Iterator[pa.RecordBatch], key: bytes, sent, names: list[st
             known[at] = surrogate(key, *at)
         return known[at]
 
-    for batch in batches:
+    for batch in common.slices(batches, "text"):
         texts, counts, kinds = [], [], []
-        others = batch.column("_own").to_pylist() if "_own" in batch.schema.names else [None] * batch.num_rows
-        for text, own in zip(batch.column("text").to_pylist(), others, strict=True):
+        others = batch.column(own_column).to_pylist() if own_column in batch.schema.names else [None] * batch.num_rows
+        for text, own in zip((t.as_py() for t in batch.column("text")), others, strict=True):
             found = detect(text or "")
             if found:
                 mine = {(o["kind"], o["entity"]): o["surrogate"] for o in own or []}
@@ -416,29 +472,29 @@ def _rewrite(batches: Iterator[pa.RecordBatch], key: bytes, sent, names: list[st
 
 
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(i.as_py(), *e) for i, t in zip(batch.column("_row"), batch.column("text"), strict=True) for e in {(f.kind, f.canonical) for f in detect(t.as_py() or "")}]
-        yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.string(), pa.string()))], names=["_row", "kind", "entity"])
+    for batch in common.slices(batches, "text"):
+        rows = [(i.as_py(), *e) for i, t in zip(batch.column("row"), batch.column("text"), strict=True) for e in {(f.kind, f.canonical) for f in detect(t.as_py() or "")}]
+        yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.string(), pa.string()))], names=["row", "kind", "entity"])
 
 
 def replace(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """All columns of `docs`, text with surrogates, and n_entities and entity_kinds
     (same-named columns of `docs` are replaced)."""
     spark, key = docs.sparkSession, p.key
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_entities", "entity_kinds", "_own", "_row")])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_entities", "entity_kinds")])
     docs = docs.withColumn("text", F.col("text").cast("string"))
     again = common.stored(assign(docs, p).where("attempt > 0").select("kind", "entity", "surrogate"), "exceptions")
     names = [*docs.columns, "n_entities", "entity_kinds"]
     schema = T.StructType([*docs.schema.fields, T.StructField("n_entities", T.LongType()), T.StructField("entity_kinds", T.StringType())])
     few = again.limit(p.exceptions + 1).toArrow().to_pylist()
+    row, own_column = (common.unused(docs, c) for c in ("row", "own"))
     if len(few) > p.exceptions:
-        row = F.sha2(F.col("text").cast("binary"), 256).cast("binary")
-        docs = docs.withColumn("_row", row)
-        own = docs.select("_row", "text").mapInArrow(_mentions, f"_row binary, {_ENTITY}").join(again, ["kind", "entity"])
-        own = own.groupBy("_row").agg(F.collect_set(F.struct("kind", "entity", "surrogate")).alias("_own"))
-        docs, few = docs.join(own, "_row", "left").drop("_row"), []
+        docs = docs.withColumn(row, F.sha2(F.col("text").cast("binary"), 256).cast("binary"))
+        own = docs.select(F.col(row).alias("row"), "text").mapInArrow(_mentions, f"row binary, {_ENTITY}").join(again, ["kind", "entity"])
+        own = own.groupBy(F.col("row").alias(row)).agg(F.collect_set(F.struct("kind", "entity", "surrogate")).alias(own_column))
+        docs, few = docs.join(own, row, "left").drop(row), []
     sent = spark.sparkContext.broadcast({(r["kind"], r["entity"]): r["surrogate"] for r in few})
-    return docs.mapInArrow(lambda b: _rewrite(b, key, sent, names), schema)
+    return docs.mapInArrow(lambda b: _rewrite(b, key, sent, names, own_column), schema)
 
 
 def op8_pii_surrogates(spark, sf_dir: str) -> DataFrame:

@@ -490,3 +490,54 @@ def test_surrogates_get_longer():
     for kind, word in (("secret", "****"), ("given-f", "anna"), ("family", "李"), ("key", "AKIA" + "A" * 16), ("email", "_@x.org")):
         few = {surrogates.surrogate(key, kind, word, n) for n in range(4)}
         assert min(len(surrogates.surrogate(key, kind, word, n)) for n in (24, 39)) > max(map(len, few))
+
+
+def longest_common_run(a, b):
+    best = run = 0
+    for x, y in zip(a, b, strict=True):
+        run = run + 1 if x == y else 0
+        best = max(best, run)
+    return best
+
+
+def test_surrogates_hide_all_of_a_long_entity():
+    rng = random.Random(13)
+    for n in (10, 80, 120, 200, 20_000):
+        for kind in ("secret", "email"):
+            x = "".join(rng.choices("abcdefghij0123456789", k=n)) + "@ab.example.org" * (kind == "email")
+            y = surrogates.surrogate(b"k", kind, x)
+            assert len(y) == len(x) and longest_common_run(x.partition("@")[0], y[: len(x.partition("@")[0])]) <= 5
+            # one character more or less changes all others
+            other = surrogates.surrogate(b"k", kind, ("b" if x[0] == "a" else "a") + x[1:])
+            assert longest_common_run(y[:n], other[:n]) <= 5
+
+
+def test_surrogates_of_all_scripts(spark):
+    cases = [
+        "password: Пароль! or пароль", "почта@домен.рф", "İnci@example.com", "IŞIK@ÖRNEK.com.tr", "Mr. 李明 met Mrs. 王芳", "Mr. محمد", "Dr. שלמה", "Frau Straße", "Mme Œuvre",
+        "call +49 30 901820", "_@_.org", "ΣΑΣ@παράδειγμα.gr", "Dr. เอก", "secret=" + "é" * 30_000,
+    ]
+    docs = [(None, c) for c in cases] + [(k, c) for k, c in enumerate(cases)] + [(100, "password: ****** token=---- pwd=....")]
+    wide = documents(spark, docs).withColumn("_own", F.lit(7)).withColumn("_row", F.lit(8))
+    for p in (surrogates.Params(), surrogates.Params(exceptions=-1)):
+        got = defaultdict(list)
+        for r in surrogates.replace(wide, p).collect():
+            got[r["doc_id"]].append(r)
+            assert r["_own"] == 7 and r["_row"] == 8
+        assert len(got[None]) == len(cases) and got[100][0]["n_entities"] == 0 and got[100][0]["text"].startswith("password: ******")
+        for k, case in enumerate(cases):
+            out = got[k][0]["text"]
+            assert out in [r["text"] for r in got[None]]  # equal entities, equal surrogates
+            entity = surrogates.detect(case)[0]
+            assert got[k][0]["n_entities"] >= 1 and case[entity.start : entity.end] not in out
+            if entity.kind == "secret":
+                assert longest_common_run(case[entity.start : entity.end], out[entity.start : entity.start + entity.end - entity.start]) <= 3
+    assert "@" in got[2][0]["text"] and surrogates.script(surrogates.detect(got[4][0]["text"])[0].canonical) == "CJK"
+
+
+def test_surrogates_of_one_person_agree():
+    key = b"k"
+    for word in ("李", "김", "иванов", "שלמה", "anna"):
+        assert surrogates.surrogate(key, "family", word) == surrogates.surrogate(key, "family", word)
+        assert surrogates.script(surrogates.surrogate(key, "family", word)) == surrogates.script(word)
+    assert len({surrogates.coded(key, "t", f"{a}{b}") for a in "0123456789" for b in "абвгд"}) == 50
