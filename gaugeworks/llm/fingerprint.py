@@ -8,20 +8,21 @@ t = floor(ln w / r + b) and ln a = ln c - r * (t - b + 1) the sample is the pair
 probability equal to the generalised Jaccard similarity of their weights, so the
 share of equal samples estimates it.
 
-The variates of a term are looked up in a table of `Params.features` rows (its
-size is fixed, so it is broadcast): a term is known by the hash of its word modulo
-that number, and weights of words that share a number add up.
+A term is the 64-bit hash of its word; no two words are merged.  r, b and c are looked
+up in three tables of `Params.features` rows (their size is fixed, so they are
+broadcast), each at its own bits of the hash: two words may have one of the three in
+common, but not the triple, unless 48 bits of their hashes are equal.
 
-Order.  "Next" is by id, null first, rows of one id by the hash of their text.  A
-coarse histogram of the ids (at most `Params.cells` rows) cuts them to groups of
-about `Params.group_bytes`; a group also gets the first document of the group after
-it (the last one: of the first).  Texts are shuffled once, by group; samples, the
-edited texts and the comparison with the next document need no other exchange of
-texts.
+Order.  "Next" is by id, null first, rows of one id by the hash of their text.  Rows
+of the same id and text are one key, counted.  Only keys are sorted (range partitions,
+and the first key of the next one); texts are shuffled once, by key, and of the next
+document only the part that is put in place of the end, cut to its length.  So neither
+an outlying id nor many equal ids land in one task.
 
 Rows: null text is the empty text.  A text without words has the empty
 fingerprint; two of them have likeness 1, one and another text 0.  The only
-document is its own next one.  Repeated rows are documents of their own.
+document is its own next one.  Repeated rows are documents of their own; each but the
+last is followed by its copy.
 """
 
 from __future__ import annotations
@@ -38,49 +39,50 @@ from . import common
 @dataclass(frozen=True)
 class Params:
     samples: int = 32
-    features: int = 1 << 16
+    features: int = 1 << 16  #: rows of a table of variates, a power of two
     seed: int = 17
-    cells: int = 1 << 16
-    group_bytes: int = 1 << 21
 
 
-def variates(spark: SparkSession, p: Params) -> DataFrame:
-    """feature and arrays r, b, c (the logarithm of c) over the samples."""
+def _uniform(k: Column, which: int, p: Params) -> Column:
+    bits = F.shiftrightunsigned(F.xxhash64("feature", k, F.lit(which), F.lit(p.seed)), 11)
+    return (bits.cast("double") + 1.0) / float(1 << 53)
 
-    def uniform(k: Column, which: int) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64("feature", k, F.lit(which), F.lit(p.seed)), 11)
-        return (bits.cast("double") + 1.0) / float(1 << 53)
 
-    def gamma(k: Column, which: int) -> Column:
-        return -F.ln(uniform(k, which) * uniform(k, which + 1))
+def _gamma(k: Column, which: int, p: Params) -> Column:
+    return -F.ln(_uniform(k, which, p) * _uniform(k, which + 1, p))
 
-    each = F.sequence(F.lit(0), F.lit(p.samples - 1))
-    return spark.range(p.features).select(F.col("id").cast("int").alias("feature")).select(
-        "feature",
-        F.transform(each, lambda k: gamma(k, 0).cast("float")).alias("r"),
-        F.transform(each, lambda k: uniform(k, 2).cast("float")).alias("b"),
-        F.transform(each, lambda k: F.ln(gamma(k, 3)).cast("float")).alias("c"),
-    )
 
+def variates(spark: SparkSession, name: str, p: Params) -> DataFrame:
+    """{name}_at and the array `name` over the samples: r, b, or c (its logarithm)."""
+    of = {"r": lambda k: _gamma(k, 0, p), "b": lambda k: _uniform(k, 2, p), "c": lambda k: F.ln(_gamma(k, 3, p))}[name]
+    each = F.transform(F.sequence(F.lit(0), F.lit(p.samples - 1)), lambda k: of(k).cast("float"))
+    return spark.range(p.features).select(F.col("id").cast("int").alias("feature")).select(F.col("feature").alias(f"{name}_at"), each.alias(name))
 
-def term_weights(texts: DataFrame, keys: list[str], p: Params) -> DataFrame:
-    """keys, feature, weight of each term of each row of `texts` (keys, t).  Counts
-    are run lengths of the row's sorted features: no shuffle, no hash table."""
+
+def term_weights(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, term, weight of each term of each row of `texts` (keys, t).  Counts
+    are run lengths of the row's sorted terms: no shuffle, no hash table."""
     words = F.regexp_extract_all(F.lower("t"), F.lit(f"({common.WORD})"), F.lit(1))
-    feature = F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(p.features - 1)).cast("int"))
-    sorted_ = texts.select(*keys, F.sort_array(feature).alias("f")).where(F.size("f") > 0)
+    term = F.transform(words, lambda w: F.xxhash64(w))
+    sorted_ = texts.select(*keys, F.sort_array(term).alias("f")).where(F.size("f") > 0)
     n = F.size("f")
     ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get("f", i - 1) != F.get("f", i)))
     runs = sorted_.select(*keys, "f", ends.alias("ends"))
     pairs = F.arrays_zip(F.col("ends").alias("to"), F.concat(F.array(F.lit(0)), F.col("ends")).alias("at"))
     runs = runs.select(*keys, "f", F.explode(F.slice(pairs, 1, F.size("ends"))).alias("run"))
-    return runs.select(*keys, F.get("f", F.col("run.to") - 1).alias("feature"), (F.col("run.to") - F.col("run.at")).alias("weight"))
+    return runs.select(*keys, F.get("f", F.col("run.to") - 1).alias("term"), (F.col("run.to") - F.col("run.at")).alias("weight"))
+
+
+_LOW = (1 << 32) - 1
 
 
 def signatures(texts: DataFrame, keys: list[str], p: Params) -> DataFrame:
-    """keys, sig (array of one long for each sample) of the rows with a word."""
-    terms = term_weights(texts, keys, p).withColumn("w", F.ln("weight"))
-    terms = terms.join(F.broadcast(variates(texts.sparkSession, p)), "feature")
+    """keys, sig (array of one int for each sample) of the rows with a word."""
+    spark, width = texts.sparkSession, p.features.bit_length() - 1
+    terms = term_weights(texts, keys).withColumn("w", F.ln("weight")).withColumn("name", F.col("term").bitwiseAND(F.lit(_LOW)))
+    for k, name in enumerate("rbc"):
+        at = F.shiftrightunsigned("term", k * width).bitwiseAND(F.lit(p.features - 1)).cast("int")
+        terms = terms.withColumn(f"{name}_at", at).join(F.broadcast(variates(spark, name, p)), f"{name}_at").drop(f"{name}_at")
 
     def least(k: int) -> Column:
         r, b, c = (F.get(x, F.lit(k)).cast("double") for x in "rbc")
@@ -88,16 +90,16 @@ def signatures(texts: DataFrame, keys: list[str], p: Params) -> DataFrame:
         a = c - r * (t.cast("double") - b + 1.0)
         # the upper bits order by a, the lower 32 name the sample
         high = F.floor((F.greatest(F.least(a, F.lit(63.0)), F.lit(-63.0)) + 64.0) * float(1 << 24))
-        return F.min(F.shiftleft(high, 32) + F.shiftleft(F.col("feature").cast("long"), 16) + t.bitwiseAND(F.lit(65535).cast("long")))
+        return F.min(F.shiftleft(high, 32) + (F.col("name") + t * 0x9E3779B1).bitwiseAND(F.lit(_LOW)))
 
     least_of = terms.groupBy(*keys).agg(*(least(k).alias(f"m{k}") for k in range(p.samples)))
-    sig = F.array(*(F.col(f"m{k}").bitwiseAND(F.lit((1 << 32) - 1)) for k in range(p.samples)))
-    return least_of.select(*keys, sig.alias("sig"))
+    low = [F.col(f"m{k}").bitwiseAND(F.lit(_LOW)) for k in range(p.samples)]
+    return least_of.select(*keys, F.array(*(F.when(x > _LOW >> 1, x - (1 << 32)).otherwise(x).cast("int") for x in low)).alias("sig"))
 
 
 def text_of(sig: Column) -> Column:
     """A signature as a string; empty for a text without words."""
-    return F.coalesce(F.array_join(F.transform(sig, lambda x: F.lpad(F.hex(x), 8, "0")), ""), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(sig, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(_LOW))), 8, "0")), ""), F.lit(""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -106,52 +108,71 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same / F.size(a).cast("double"))
 
 
-def in_order(docs: DataFrame, p: Params) -> DataFrame:
-    """grp, rn, edge and the columns of `docs` (doc_id, text): rows of a group by id,
-    followed by the first row after the group, marked as its edge."""
-    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    lo, hi = float(lo or 0), float(hi or 0)
-    cell = F.coalesce(F.floor((F.col("doc_id").cast("double") - lo) / max(1.0, hi - lo) * (p.cells - 1)), F.lit(-1)).alias("cell")
-    counted = docs.select(cell, "doc_id", F.octet_length("text").alias("bytes")).groupBy("cell")
-    cells = counted.agg(F.sum(F.col("bytes") + 64).alias("bytes"), F.min("doc_id").alias("least"))
-    before = F.coalesce(F.sum("bytes").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.withColumn("grp", F.floor(before / p.group_bytes))
-    first = W.orderBy("cell")
-    cells = cells.withColumn("prev", F.lag("grp").over(first)).withColumn("last", F.max("grp").over(W.orderBy(F.lit(0))))
-    # the first cell of a group also sends its least id to the group before
-    to = F.when(F.col("prev").isNull(), F.col("last")).when(F.col("prev") != F.col("grp"), F.col("prev"))
-    cells = common.stored(cells.select("cell", "grp", "least", to.alias("to")), "cells")
-    placed = docs.withColumn("cell", cell).join(F.broadcast(cells), "cell")
-    send = F.col("to").isNotNull() & F.col("doc_id").eqNullSafe(F.col("least"))
-    own = F.struct(F.col("grp"), F.lit(False).alias("edge"))
-    copy = F.struct(F.col("to").alias("grp"), F.lit(True).alias("edge"))
-    placed = placed.select("doc_id", "text", F.explode(F.when(send, F.array(own, copy)).otherwise(F.array(own))).alias("at"))
-    # without nulls, so that no filter sets the two uses of the one exchange apart
-    group = F.coalesce(F.col("at.grp"), F.lit(0)).alias("grp")
-    return placed.select(group, F.coalesce(F.col("at.edge"), F.lit(False)).alias("edge"), "doc_id", "text")
+#: A document's key: its id (0 if null), whether it has one, and the hash of its text.
+_KEY = ["named", "id", "h"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The key, without nulls, and the text of each row."""
+    named, number = F.col("doc_id").isNotNull(), F.coalesce(F.col("doc_id"), F.lit(0))
+    return docs.select(named.alias("named"), number.alias("id"), F.xxhash64("text").alias("h"), "text")
+
+
+def _renamed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{prefix}{c}" for c in _KEY})
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Key, copies, n_chars and the key of the next document (next_named, next_id,
+    next_h) of each distinct row of `rows` (key, text)."""
+    keys = rows.groupBy(*_KEY).agg(F.count("*").alias("copies"), F.max(F.char_length("text").cast("long")).alias("n_chars"))
+    ranged = keys.repartitionByRange(common.slots(rows.sparkSession), *_KEY)
+    placed = common.stored(ranged.withColumn("part", F.spark_partition_id()), "keys")
+    key = F.struct(*_KEY)
+    # one row for each range partition
+    parts = placed.groupBy("part").agg(F.min(key).alias("head"))
+    everything = W.orderBy("part")
+    heads = parts.select("part", F.coalesce(F.lead("head").over(everything), F.first("head").over(everything)).alias("ahead"))
+    following = F.lead(key).over(W.partitionBy("part").orderBy(*_KEY))
+    out = placed.withColumn("following", following).join(F.broadcast(heads), "part").withColumn("next", F.coalesce("following", "ahead"))
+    return common.stored(out.select(*_KEY, "copies", "n_chars", *(F.col(f"next.{c}").alias(f"next_{c}") for c in _KEY)), "order")
 
 
 def fingerprints(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next of every row of `docs` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = W.partitionBy("grp").orderBy("edge", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered = in_order(docs, p).select("grp", "edge", "doc_id", "text", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("after"))
-    ordered = ordered.withColumn("n_chars", F.char_length("text").cast("long"))
+    order = in_order(keyed(docs))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substr("after", F.lit(1), cut))
-    ordered = ordered.withColumn("edited", F.when(~F.col("edge"), edited))
-    both = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
-    texts = ordered.select("grp", "rn", F.explode(both).alias("x")).select("grp", "rn", "x.kind", "x.t").where(F.col("t").isNotNull())
-    sigs = signatures(texts, ["grp", "rn", "kind"], p).groupBy("grp", "rn")
-    sigs = sigs.agg(*(F.max(F.when(F.col("kind") == k, F.col("sig"))).alias(n) for k, n in enumerate(("sig", "edited_sig"))))
-    rows = ordered.select("grp", "rn", "edge", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    rows = rows.join(sigs, ["grp", "rn"], "left")
-    rows = rows.withColumn("next_sig", F.lead("sig").over(W.partitionBy("grp").orderBy("rn"))).where(~F.col("edge"))
-    sig, edited_sig = F.col("sig"), F.col("edited_sig")
+
+    # each distinct text once, at its key: the one exchange of texts, used twice
+    texts = keyed(docs).groupBy(*_KEY).agg(F.first("text").alias("text"))
+    asked = _renamed(order, "prev_").withColumnsRenamed({f"next_{c}": c for c in _KEY}).withColumn("cut", cut)
+    heads = texts.join(asked, _KEY).select(*(F.col(f"prev_{c}").alias(c) for c in _KEY), "copies", "n_chars", "cut", F.substr("text", F.lit(1), "cut").alias("head"))
+    ordered = texts.join(heads, _KEY)
+    kept = F.substr("text", F.lit(1), F.col("n_chars").cast("int") - F.col("cut"))
+    edited, own = F.concat(kept, F.col("head")), F.concat(kept, F.substr("text", F.lit(1), F.col("cut")))
+    ordered = ordered.withColumns({"edited": edited, "again": F.when(F.col("copies") > 1, own)})
+
+    forms = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("t")) for k, c in enumerate(("text", "edited", "again"))))
+    each = ordered.select(*_KEY, F.explode(forms).alias("x")).select(*_KEY, "x.kind", "x.t").where(F.col("t").isNotNull())
+    sigs = signatures(each, [*_KEY, "kind"], p).groupBy(*_KEY)
+    sigs = sigs.agg(*(F.max(F.when(F.col("kind") == k, F.col("sig"))).alias(n) for k, n in enumerate(("sig", "edited_sig", "again_sig"))))
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    rows = ordered.select(*_KEY, "n_chars", "copies", sha("edited").alias("edited_sha"), sha("again").alias("again_sha"))
+    rows = common.stored(rows.join(sigs, _KEY, "left"), "signatures")
+
+    following = _renamed(rows.select(*_KEY, F.col("sig").alias("next_sig")), "next_")
+    following = order.select(*_KEY, *(f"next_{c}" for c in _KEY)).join(following, [f"next_{c}" for c in _KEY]).select(*_KEY, "next_sig")
+    rows = rows.join(following, _KEY)
+    last = F.struct(F.col("edited_sha").alias("sha"), F.col("edited_sig").alias("other"), "next_sig")
+    copy = F.struct(F.col("again_sha").alias("sha"), F.col("again_sig").alias("other"), F.col("sig").alias("next_sig"))
+    each = F.concat(F.array(last), F.array_repeat(copy, (F.col("copies") - 1).cast("int")))
+    rows = rows.select(F.when(F.col("named"), F.col("id")).alias("doc_id"), "n_chars", "sig", F.explode(each).alias("x"))
+    sig, other, ahead = F.col("sig"), F.col("x.other"), F.col("x.next_sig")
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", text_of(sig).alias("fingerprint"), text_of(edited_sig).alias("edited_fingerprint"),
-        likeness(sig, edited_sig).alias("near_edited"), likeness(sig, F.col("next_sig")).alias("near_next"),
+        "doc_id", "n_chars", F.col("x.sha").alias("edited_sha256"), text_of(sig).alias("fingerprint"), text_of(other).alias("edited_fingerprint"),
+        likeness(sig, other).alias("near_edited"), likeness(sig, ahead).alias("near_next"),
     )
 
 

@@ -320,11 +320,21 @@ def test_fingerprints_of_odd_rows(spark, odd):
     by = {r["doc_id"]: r for r in got}
     assert len(got) == len(odd) and by[0]["fingerprint"] == by[2]["fingerprint"] == "" and by[0]["near_next"] == 1.0
     assert by[5]["fingerprint"] == by[6]["fingerprint"] and by[5]["near_next"] == 1.0
+    same = fingerprint.fingerprints(documents(spark, [(7, "a b c d"), (7, "a b c d"), (None, "x y"), (None, "x y"), (9, "z")])).collect()
+    assert sorted(r["near_next"] for r in same) == [0.0, 0.0, 0.0, 1.0, 1.0]  # each copy but the last is followed by its copy
+    far = fingerprint.fingerprints(documents(spark, [(k, f"w{k} w{k} v") for k in range(50)] + [(1 << 60, "far away"), (-(1 << 60), "w0 w0 v")])).collect()
+    assert next(r for r in far if r["doc_id"] == -(1 << 60))["near_next"] == 1.0 and len(far) == 52
     one = fingerprint.fingerprints(documents(spark, ["just one text"])).first()
     assert one["near_next"] == 1.0
     assert fingerprint.fingerprints(documents(spark, odd).limit(0)).count() == 0
 
 
+def test_words_of_long_texts_are_not_merged(spark):
+    # 20,000 different words each: nothing in common
+    texts = [" ".join(f"{c}{k}" for k in range(20_000)) for c in "ab"]
+    assert fingerprint.fingerprints(documents(spark, texts)).first()["near_next"] <= 0.1
+
+
 # -- BPE ------------------------------------------------------------------------
 
 
