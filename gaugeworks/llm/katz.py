@@ -49,7 +49,7 @@ class Params:
     tail: float = 0.5
     chunk_tokens: int = 1 << 21
     part_entries: int = 1 << 19  #: entries that a partition of a count table is sent, about
-    cached_words: int = 1 << 18
+    cached_words: int = 1 << 16
 
 
 END = 1  #: the end token's hash

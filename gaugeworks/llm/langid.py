@@ -47,7 +47,7 @@ class Params:
     rate: float = 4.0
     seed: int = 7
     reject_rate: float = 0.002
-    slice_chars: int = 1 << 19  #: characters hashed at once; texts may be longer
+    slice_chars: int = 1 << 18  #: characters hashed at once; texts may be longer
 
 
 @dataclass
@@ -110,7 +110,7 @@ def grams(texts: list[str], p: Params) -> Iterator[tuple[np.ndarray, np.ndarray]
 
 
 def _featurize(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.slices(batches, "text"):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         found: list[list[np.ndarray]] = [[] for _ in texts]
         for bucket, own in grams(texts, p):
@@ -240,7 +240,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in common.slices(batches, "text"):
             lang, score, rejected = predict(batch.column("text").to_pylist(), m)
             extra = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_rejected"])

@@ -51,8 +51,8 @@ class Params:
     percent: int = 80  #: least Jaccard similarity of a link
     tables: int = 12  #: groups in each of the two collections
     width: int = 3  #: minhashes in a group
-    slice_shingles: int = 1 << 19
-    cached_words: int = 1 << 18
+    slice_shingles: int = 1 << 18  #: members of sets that a kernel holds at once, about
+    cached_words: int = 1 << 16
     broadcast_rows: int = 1 << 20  #: largest id table that is broadcast; beyond it a shuffled join
 
 
@@ -120,7 +120,7 @@ def _sign(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBat
     import xxhash
 
     hashes = WordHashes(p.cached_words)
-    for batch in batches:
+    for batch in common.slices(batches, "text"):
         for rows, sets in _slices(batch, hashes, p):
             size = np.array([len(s) for s in sets])
             full = np.flatnonzero(size)
@@ -154,7 +154,7 @@ def _sets(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBat
     import xxhash
 
     hashes = WordHashes(p.cached_words)
-    for batch in batches:
+    for batch in common.slices(batches, "text"):
         nodes = batch.column("node").to_pylist()
         for rows, sets in _slices(batch, hashes, p):
             own = [k for k, (r, s) in enumerate(zip(rows, sets, strict=True)) if xxhash.xxh3_128_digest(s.tobytes()) == nodes[r]]
