@@ -4,17 +4,16 @@ The tokenizer's file is JSON of the `tokenizers` library: NFC, lower case, a
 regular expression that cuts words, byte-level BPE with word ends.  A word's ids
 do not depend on its neighbours, so:
 
-1. words are split in Spark and counted; each distinct word is one row of the
-   word table;
-2. the most frequent words, at most `Params.table_words` of at most
-   `Params.table_bytes` bytes each (both bounds of the broadcast), are encoded
-   once and sent to the executors;
-3. in one pass over the texts every word is replaced, by position, by its ids
-   from that table; the words beyond the bound go through a distinct-word table
-   of the task, which encodes each of them once for the task and is emptied when
-   it holds `Params.task_words` words.  Results do not depend on the bounds;
-4. decoding joins ids to the pieces of the vocabulary (a fixed size) and puts a
-   blank between pieces, as the library does for a file without a decoder.
+1. texts are split to words once, to chunks of a task: the chunk's distinct words and
+   the texts as numbers of these, packed (one row for each chunk, with the other
+   columns of its documents);
+2. the distinct-word table is hash-partitioned by word.  A chunk sends each partition
+   its distinct words; there each distinct word of the corpus is encoded once, and its
+   ids go back to the chunks in the order in which they asked.  So a word of every text
+   is one short row for each chunk, and partitions are as many as the words ask for;
+3. ids are joined back by chunk, and within it to each position by the word's number;
+4. decoding joins ids to the pieces of the vocabulary (a fixed size, broadcast) and puts
+   a blank between pieces, as the library does for a file without a decoder.
 
 Rows: null text is the empty text, with no ids.  The strings of special tokens
 inside a text become those tokens.  Repeated rows and null ids are encoded like
@@ -27,24 +26,26 @@ import hashlib
 import os
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .packing import groups, pack, rows_of, unpack
 
 
 @dataclass(frozen=True)
 class Params:
     tokenizer: str = ""  #: path of the tokenizer's JSON file, read on the driver
-    table_words: int = 1 << 17
-    table_bytes: int = 64
-    task_words: int = 1 << 19
+    chunk_words: int = 1 << 21  #: words of a chunk, about
+    part_words: int = 1 << 19  #: words that a partition of the table is asked for, about
 
 
 #: Below this code point Python's NFC, lower-casing and letter classes are those of the library.
@@ -77,7 +78,7 @@ class Words:
 
     def segments(self, text: str) -> list[str]:
         """Ordinary text and special tokens by turns."""
-        return self.cut.split(text) if self.cut and "<|" in text else [text]
+        return self.cut.split(text) if any(x in text for x in self.special) else [text]
 
     def split(self, segment: str) -> list[str]:
         """The normalised words of ordinary text."""
@@ -103,20 +104,21 @@ class Words:
                 out += self.split(part)
         return out
 
-    def encode(self, words: list[str]) -> list[tuple[str, int]]:
-        """For each word its decimal ids joined by blanks, and their number."""
-        plain = [w for w in words if w[0] != "\0" or w[1:] not in self.special]
-        step = 4096  # the library's results are large
-        ids = (e.ids for k in range(0, len(plain), step) for e in self.tok.encode_batch(plain[k : k + step], add_special_tokens=False))
-        out = []
-        for w in words:
-            got = [self.special[w[1:]]] if w[0] == "\0" and w[1:] in self.special else next(ids)
-            out.append((" ".join(map(str, got)), len(got)))
-        return out
-
-    def pieces(self) -> dict[str, str]:
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has."""
+        is_plain = [w[0] != "\0" or w[1:] not in self.special for w in words]
+        plain, step = [w for w, ok in zip(words, is_plain, strict=True) if ok], 4096  # the library's results are large
+        coded = (e.ids for k in range(0, len(plain), step) for e in self.tok.encode_batch(plain[k : k + step], add_special_tokens=False))
+        ids, size = [], np.zeros(len(words), np.int64)
+        for k, w in enumerate(words):
+            got = next(coded) if is_plain[k] else [self.special[w[1:]]]
+            ids += got
+            size[k] = len(got)
+        return np.array(ids, np.int64), size
+
+    def pieces(self) -> dict[int, str]:
         """The id-to-piece table."""
-        return {str(i): piece for piece, i in self.tok.get_vocab(with_added_tokens=True).items()}
+        return {i: piece for piece, i in self.tok.get_vocab(with_added_tokens=True).items()}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -134,41 +136,130 @@ def _unbyte(piece: str) -> str:
     return bytes(_BYTE_OF[c] for c in piece).decode("utf-8")
 
 
-def _count(batches: Iterator[pa.RecordBatch], spec, most: int, limit: int) -> Iterator[pa.RecordBatch]:
-    words, seen = Words(spec.value), Counter()
+class _Numbers(dict):
+    """Numbers words in the order in which they come."""
 
-    def out() -> pa.RecordBatch:
-        kept = [(w, n) for w, n in seen.items() if len(w.encode()) <= most]
-        seen.clear()
-        return pa.record_batch([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+    def __missing__(self, word: str) -> int:
+        self[word] = out = len(self)
+        return out
 
-    for batch in batches:
+
+_CHUNK = [("chunk", pa.int64()), ("sizes", pa.binary()), ("codes", pa.binary()), ("slice", pa.binary()), ("words", pa.binary()), ("n_words", pa.int64())]
+_CHUNK_DDL = "chunk long, sizes binary, codes binary, slice binary, words binary, n_words long"
+_ASK = [("part", pa.int64()), ("chunk", pa.int64()), ("words", pa.binary())]
+_ASK_DDL = "part long, chunk long, words binary"
+_TOLD = [("chunk", pa.int64()), ("part", pa.int64()), ("numbers", pa.binary()), ("ids", pa.binary())]
+_TOLD_DDL = "chunk long, part long, numbers binary, ids binary"
+
+
+def _packed(words: list[str]) -> bytes:
+    raw = [w.encode() for w in words]
+    sizes = pack(np.array([len(w) for w in raw], np.uint64))
+    return len(sizes).to_bytes(8, "big") + sizes + zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
+
+
+def _unpacked(blob: bytes) -> list[str]:
+    cut = 8 + int.from_bytes(blob[:8], "big")
+    ends = np.cumsum(unpack(blob[8:cut])).tolist()
+    raw = zstandard.ZstdDecompressor().decompress(blob[cut:])
+    return [raw[a:b].decode() for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
+def _split(batches: Iterator[pa.RecordBatch], spec, rest: list[str], p: Params) -> Iterator[pa.RecordBatch]:
+    """Chunks; `rest` are the other columns of their documents."""
+    from pyspark import TaskContext
+
+    words, at = Words(spec.value), TaskContext.get().partitionId() << 32
+    numbers, texts, held, total = _Numbers(), [], [], 0
+
+    def out() -> pa.RecordBatch:
+        found = list(numbers)
+        codes = np.concatenate(texts)
+        # small numbers for frequent words
+        order = np.argsort(-np.bincount(codes, minlength=len(found)), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        found = [found[k] for k in order.tolist()]
+        part = np.fromiter((xxhash.xxh3_64_intdigest(w) >> 48 for w in found), np.uint64, len(found))
+        own = pa.Table.from_batches(held).combine_chunks().to_batches()
+        own = pa.StructArray.from_arrays(own[0].columns, names=rest) if rest else pa.nulls(len(texts))
+        own = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), own)
+        row = rows_of([(at, pack(np.array([len(t) for t in texts])), pack(place[codes]), pack(part), _packed(found), len(found))], _CHUNK)
+        return pa.RecordBatch.from_arrays([*row.columns, own], names=[*row.schema.names, "rest"])
+
+    for batch in common.slices(batches, "text"):
         for text in batch.column("text"):
-            seen.update(words.words(text.as_py() or ""))
-            if len(seen) > limit:
-                yield out()
-    yield out()
-
-
-def word_table(docs: DataFrame, spec: str, p: Params) -> dict[str, tuple[str, int]]:
-    """The most frequent distinct words, each encoded once; its size is bounded by
-    `table_words` * `table_bytes`.  Ties go to the smaller word."""
-    sent = docs.sparkSession.sparkContext.broadcast(spec)
-    most, limit = p.table_bytes, p.task_words
-    top = (
-        docs.select(F.col("text").cast("string").alias("text"))
-        .mapInArrow(lambda b: _count(b, sent, most, limit), "word string, n long")
-        .groupBy("word")
-        .agg(F.sum("n").alias("n"))
-        .where("n > 1")
-        .orderBy(F.desc("n"), "word")
-        .limit(p.table_words)
-        .select("word")
-        .toArrow()
-        .column(0)
-        .to_pylist()
-    )
-    return dict(zip(top, Words(spec).encode(top), strict=True))
+            found = words.words(text.as_py() or "")
+            texts.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
+            total += len(found)
+        held.append(batch.select(rest))
+        if total >= p.chunk_words:
+            yield out()
+            at, total = at + 1, 0
+            numbers, texts, held = _Numbers(), [], []
+    if texts:
+        yield out()
+
+
+def _ask(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            found = _unpacked(row["words"])
+            for k, at in groups(unpack(row["slice"]).astype(np.int64) % parts):
+                yield rows_of([(k, row["chunk"], _packed([found[i] for i in at.tolist()]))], _ASK)
+
+
+def _encode(table: pa.Table, spec) -> pa.Table:
+    """The ids of the words asked for; each distinct word is encoded once."""
+    asked, numbers = table.to_pylist(), _Numbers()
+    codes = []
+    for row in asked:
+        found = _unpacked(row["words"])
+        codes.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
+    ids, size = Words(spec.value).encode(list(numbers))
+    start = np.cumsum(size) - size
+    out = []
+    for row, code in zip(asked, codes, strict=True):
+        n = size[code]
+        at = np.repeat(start[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out.append((row["chunk"], row["part"], pack(n), pack(ids[at])))
+    return pa.Table.from_batches([rows_of(out, _TOLD)])
+
+
+def _join(batches: Iterator[pa.RecordBatch], sent, parts: int, names: list[str], with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """Documents with their ids, from the chunks and what they were told."""
+    piece = sent.value
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row = batch.select(["sizes", "codes", "slice", "told"]).slice(at, 1).to_pylist()[0]
+            told, part = {x["part"]: x for x in row["told"] or []}, unpack(row["slice"]).astype(np.int64) % parts
+            ids, decoded, number = ([None] * len(part) for _ in range(3))
+            for k, place in groups(part):
+                n, found = unpack(told[k]["numbers"]).tolist(), unpack(told[k]["ids"]).tolist()
+                end = 0
+                for i, size in zip(place.tolist(), n, strict=True):
+                    own = found[end : end + size]
+                    end += size
+                    number[i], ids[i], decoded[i] = size, " ".join(map(str, own)), " ".join([piece[x] for x in own])
+            codes, sizes = unpack(row["codes"]).astype(np.int64), unpack(row["sizes"]).astype(np.int64)
+            number = np.array(number, np.int64)
+            silent = len(number) and number.min() == 0  # words without ids, such as an empty piece
+            ends, totals, shas, texts = np.cumsum(sizes).tolist(), [], [], []
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                code = codes[a:b]
+                code = code[number[code] > 0] if silent else code
+                totals.append(int(number[code].sum()))
+                code = code.tolist()
+                both = [" ".join([x[c] for c in code]) for x in (ids, decoded)]
+                shas.append([hashlib.sha256(x.encode()).hexdigest() for x in both])
+                if with_ids:
+                    texts.append(both)
+            rest = batch.column("rest").slice(at, 1).flatten()
+            columns = rest.flatten() if pa.types.is_struct(rest.type) else []
+            columns += [pa.array(totals, pa.int64()), *(pa.array([x[k] for x in shas], pa.string()) for k in (0, 1))]
+            if with_ids:
+                columns += [pa.array([x[k] for x in texts], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def encode(docs: DataFrame, p: Params, with_ids: bool = False) -> DataFrame:
@@ -176,49 +267,23 @@ def encode(docs: DataFrame, p: Params, with_ids: bool = False) -> DataFrame:
     with `with_ids` also ids (decimal, joined by blanks) and decoded."""
     with open(p.tokenizer, encoding="utf-8") as f:
         spec = f.read()
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((spec, word_table(docs, spec, p)))
-    limit = p.task_words
+    context = docs.sparkSession.sparkContext
+    sent, pieces = context.broadcast(spec), context.broadcast(Words(spec).pieces())
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
     rest = [f for f in docs.schema.fields if f.name != "text"]
     schema = T.StructType([*rest, *(T.StructField(c, T.LongType() if c == "n_tokens" else T.StringType()) for c in new)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spec, table = sent.value
-        words = Words(spec)
-        piece = words.pieces()
-        # of each word of this task: its ids as text, their number, its pieces
-        known: dict[str, tuple[str, int, str]] = {}
-
-        def add(fresh: list[str]) -> None:
-            missing = [w for w in fresh if w not in table]
-            coded = dict(zip(missing, words.encode(missing), strict=True)) if missing else {}
-            for w in fresh:
-                ids, n = table.get(w) or coded[w]
-                known[w] = (ids, n, " ".join(map(piece.__getitem__, ids.split(" "))) if n else "")
-
-        def encoded(text: str) -> tuple[int, str, str]:
-            found = words.words(text)
-            fresh = [w for w in dict.fromkeys(found) if w not in known]
-            if fresh:
-                if len(known) + len(fresh) > limit:
-                    known.clear()
-                    fresh = list(dict.fromkeys(found))
-                add(fresh)
-            got = list(map(known.__getitem__, found))
-            return sum(x[1] for x in got), " ".join(x[0] for x in got if x[1]), " ".join(x[2] for x in got if x[1])
-
-        for batch in common.slices(batches, "text"):
-            rows = [encoded(t.as_py() or "") for t in batch.column("text")]
-            sha = [[hashlib.sha256(r[k].encode()).hexdigest() for r in rows] for k in (1, 2)]
-            cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array(sha[0], pa.string()), pa.array(sha[1], pa.string())]
-            if with_ids:
-                cols += [pa.array([r[k] for r in rows], pa.string()) for k in (1, 2)]
-            kept = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *cols], names=[*kept, *new])
-
-    return docs.mapInArrow(run, schema)
+    chunk = T.StructType.fromDDL(_CHUNK_DDL).add("rest", T.ArrayType(T.StructType(rest) if rest else T.StringType()))
+    own = [f.name for f in rest]
+
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    chunks = common.stored(docs.mapInArrow(lambda b: _split(b, sent, own, p), chunk), "chunks")
+    parts = min(1 << 16, (chunks.agg(F.sum("n_words")).first()[0] or 0) // p.part_words + 1)
+    asked = chunks.select("chunk", "slice", "words").mapInArrow(lambda b: _ask(b, parts), _ASK_DDL)
+    told = asked.groupBy("part").applyInArrow(lambda t: _encode(t, sent), _TOLD_DDL)
+    told = told.groupBy("chunk").agg(F.collect_list(F.struct("part", "numbers", "ids")).alias("told"))
+    full = chunks.drop("words", "n_words").join(told, "chunk", "left")
+    return full.mapInArrow(lambda b: _join(b, pieces, parts, schema.names, with_ids), schema)
 
 
 def production() -> Params:

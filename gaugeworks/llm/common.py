@@ -12,6 +12,7 @@ Shipping code
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -67,6 +68,13 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver's garbage collector find the shuffles that nothing refers to any
+    more, so that their files go before the next step writes its own."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def slots(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -41,8 +41,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from . import common
+from . import common, words
 from .components import components
+from .words import mix
 
 
 @dataclass(frozen=True)
@@ -52,57 +53,43 @@ class Params:
     tables: int = 12  #: groups in each of the two collections
     width: int = 3  #: minhashes in a group
     slice_shingles: int = 1 << 18  #: members of sets that a kernel holds at once, about
-    cached_words: int = 1 << 16
     broadcast_rows: int = 1 << 20  #: largest id table that is broadcast; beyond it a shuffled join
 
 
 _ODD = np.random.default_rng(20240229).integers(1 << 62, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
-
-
-class WordHashes(dict):
-    """64-bit hash of each word, kept for words met before, up to a bound."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        import xxhash
-
-        self.digest, self.most = xxhash.xxh3_64_intdigest, most
+def shingles(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of `size` words, in order; of the whole, if it is shorter."""
+    return runs(words, np.array([0, len(words)]), size)[0]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = out = self.digest(word)
-        return out
 
-    def of(self, text: str | None) -> np.ndarray:
-        """Hashes of the words of a text: A-Z lower-cased, cut at ASCII white space."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def runs(flat: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of many texts, one after the other, and the place of the first one
+    of each text; `flat` and `at` are the words in the same form."""
+    n = np.diff(at)
+    total = np.full(len(flat), np.uint64(size), np.uint64)
+    for k in range(min(size, len(flat))):
+        total[: len(flat) - k] += flat[k:] * _ODD[k]
+    for d in np.flatnonzero((n > 0) & (n < size)):
+        total[at[d]] = (flat[at[d] : at[d + 1]] * _ODD[: n[d]]).sum() + np.uint64(n[d])
+    whole = np.arange(len(flat)) - np.repeat(at[:-1], n) < np.repeat(np.maximum(n - size + 1, np.minimum(n, 1)), n)
+    return mix(total[whole]), np.concatenate([[0], np.cumsum(np.maximum(n - size + 1, np.minimum(n, 1)))])
 
 
-def shingles(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the runs of `size` words, in order; of the whole, if it is shorter."""
-    n = min(size, len(words))
-    if n == 0:
-        return np.zeros(0, np.uint64)
-    total = np.full(len(words) - n + 1, np.uint64(n), np.uint64)
-    for k in range(n):
-        total += words[k : len(words) - n + 1 + k] * _ODD[k]
-    return _mix(total)
+def sequences(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """The shingles of each text, in order."""
+    flat, at = runs(*words.hashes(texts), size)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield flat[a:b]
 
 
-def _slices(batch: pa.RecordBatch, hashes: WordHashes, p: Params) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+def _slices(batch: pa.RecordBatch, p: Params) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """Row numbers and shingle sets, in slices of bounded size."""
     rows, sets, total = [], [], 0
-    for k, text in enumerate(batch.column("text")):
+    for k, found in enumerate(sequences(batch.column("text"), p.words)):
         rows.append(k)
-        sets.append(np.unique(shingles(hashes.of(text.as_py()), p.words)))
+        sets.append(np.unique(found))
         total += len(sets[-1])
         if total >= p.slice_shingles:
             yield rows, sets
@@ -119,9 +106,8 @@ def _sign(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBat
     """Set size, class and the two collections' group keys of each document."""
     import xxhash
 
-    hashes = WordHashes(p.cached_words)
     for batch in common.slices(batches, "text"):
-        for rows, sets in _slices(batch, hashes, p):
+        for rows, sets in _slices(batch, p):
             size = np.array([len(s) for s in sets])
             full = np.flatnonzero(size)
             keys = np.zeros((len(sets), 2 * p.tables), np.uint64)
@@ -133,7 +119,7 @@ def _sign(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBat
                     for w in range(p.width):
                         k = g * p.width + w
                         least = np.minimum.reduceat((flat ^ _ODD[k]) * _ODD[255 - k], starts)
-                        group = _mix(group * np.uint64(0x9E3779B97F4A7C15) + least)
+                        group = mix(group * np.uint64(0x9E3779B97F4A7C15) + least)
                     keys[full, g] = group
             node = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.record_batch(
@@ -153,10 +139,9 @@ def _sets(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBat
     share an id may differ)."""
     import xxhash
 
-    hashes = WordHashes(p.cached_words)
     for batch in common.slices(batches, "text"):
         nodes = batch.column("node").to_pylist()
-        for rows, sets in _slices(batch, hashes, p):
+        for rows, sets in _slices(batch, p):
             own = [k for k, (r, s) in enumerate(zip(rows, sets, strict=True)) if xxhash.xxh3_128_digest(s.tobytes()) == nodes[r]]
             ends = np.cumsum([0] + [len(sets[k]) for k in own])
             flat = np.concatenate([np.zeros(0, np.uint64), *(sets[k] for k in own)])

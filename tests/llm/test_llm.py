@@ -346,7 +346,11 @@ def test_bpe_is_the_library(spark, odd, corpus):
     rng = random.Random(8)
     marks = ["a", "É", "İ", "Σ", "ς", "ŉ", "\x85", "\xa0", "\x1c", " ", "'s", "'LL", "'", "<|endoftext|>", "<|startoftext|>", "<|", "9", "½", "中", "가", "é", "́", "😀", "_", "\x00", "​", "ﬁ"]
     texts = odd + [t for _, t, _, _ in corpus[:40]] + ["".join(rng.choices(marks, k=rng.randrange(12))) for _ in range(400)]
-    small = bpe.Params(tokenizer=p.tokenizer, table_words=50, task_words=40_000)
+    small = bpe.Params(tokenizer=p.tokenizer, chunk_words=500, part_words=100)
+    assert bpe.encode(documents(spark, texts).limit(0), p).count() == 0
+    assert bpe.encode(documents(spark, ["a b", None]).select("text"), p).columns == ["n_tokens", "ids_sha256", "decoded_sha256"]
+    wide = bpe.encode(documents(spark, [(3, "a b"), (3, "a b"), (None, None)]), small).collect()
+    assert sorted((r["doc_id"] or 0, r["lang"], r["size"], r["n_tokens"]) for r in wide) == [(0, "en", 1, 0), (3, "en", 1, 2), (3, "en", 1, 2)]
     for params in (p, small):
         got = bpe.encode(documents(spark, [(k, t[1] if isinstance(t, tuple) else t) for k, t in enumerate(texts)]).select("doc_id", "text"), params, with_ids=True).collect()
         assert len(got) == len(texts)
@@ -424,33 +428,53 @@ def test_languages_of_odd_rows(spark, odd):
 def test_katz_is_the_definition(spark):
     rng = random.Random(9)
     texts = {k: " ".join(rng.choices("a b c d e f g h i j".split() + [f"r{k}"], k=rng.randrange(0, 40))) for k in range(120)} | {500: None, 501: "", 502: "Zz unseen A"}
-    train = {d for d in texts if d % 5 != 2 and d < 500}
+    texts |= {600 + k: "always the same" for k in range(8)} | {650: "always the other same x"}  # contexts with large counts only
+    train = {d for d in texts if d % 5 != 2 and d != 650 and not 500 <= d < 503}
     p = katz.Params(chunk_tokens=300, part_entries=64)
-    got = {r["doc_id"]: r for r in katz.score(documents(spark, list(texts.items())), (F.col("doc_id") % 5 != 2) & (F.col("doc_id") < 500), p).collect()}
+    learn = (F.col("doc_id") % 5 != 2) & (F.col("doc_id") != 650) & ~F.col("doc_id").between(500, 502)
+    got = {r["doc_id"]: r for r in katz.score(documents(spark, list(texts.items())), learn, p).collect()}
     tok = {d: [*words(t), None] for d, t in texts.items()}
-    c, b = Counter(), Counter()
+    contexts = {d: list(zip([None, "<s>", *t[:-2]], ["<s>", *t[:-1]], t, strict=False)) for d, t in tok.items()}
+    c, b, three = Counter(), Counter(), Counter()
     for d in train:
         c.update(tok[d])
-        b.update(zip(["<s>", *tok[d][:-1]], tok[d], strict=True))
+        b.update((v, w) for _, v, w in contexts[d])
+        three.update(((u, v), w) for k, (u, v, w) in enumerate(contexts[d]) if k)
     n, v = sum(c.values()), len(c)
     c["<s>"] = len(train)
-    d_of = katz.discounts(np.array([sum(x == r for x in b.values()) for r in range(1, p.top + 2)]), p)
-    kept = lambda r: d_of[r - 1] * r if r <= p.top else r - p.tail
-    uni = lambda w: ((c[w] if w != "<s>" else 0) + 1) / (n + v + 1)
-
-    def prob(h, w):
-        if not c[h]:
-            return uni(w)
-        if b[h, w]:
-            return kept(b[h, w]) / c[h]
-        seen = [x for (y, x) in b if y == h]
-        return uni(w) * (1 - sum(kept(b[h, x]) for x in seen) / c[h]) / (1 - sum(uni(x) for x in seen))
-
-    for h in ("<s>", b"a", b"r7"):  # each distribution is whole, unknown words being one
-        assert sum(prob(h, w) for w in [*(x for x in c if x != "<s>"), b"unknown"]) == pytest.approx(1)
+    d_of = [katz.discounts(np.array([sum(x == r for x in of.values()) for r in range(1, p.top + 2)]), p) for of in (b, three)]
+    after = [defaultdict(dict), defaultdict(dict)]
+    for of, seen in zip((b, three), after, strict=True):
+        for (h, w), r in of.items():
+            seen[h][w] = r
+
+    def kept(order, h, r):
+        whole = min(after[order][h].values()) > p.top
+        return d_of[order][r - 1] * r if r <= p.top else r - p.tail * whole
+
+    def uni(w):
+        return ((c[w] if w != "<s>" else 0) + 1) / (n + v + 1)
+
+    def prob(order, h, w):
+        """P(w|h) of bigrams (order 0) and trigrams (order 1)."""
+        total, less = (c[h], uni) if order == 0 else (b[h], lambda x: prob(0, h[1], x))
+        if not total:
+            return less(w)
+        seen = after[order][h]
+        if w in seen:
+            return kept(order, h, seen[w]) / total
+        return less(w) * (1 - sum(kept(order, h, r) for r in seen.values()) / total) / (1 - sum(map(less, seen)))
+
+    everything = [*(x for x in c if x != "<s>"), b"unknown"]
+    for h in ("<s>", b"a", b"r7", b"the"):  # each distribution is whole, unknown words being one
+        assert sum(prob(0, h, w) for w in everything) == pytest.approx(1)
+    for h in (("<s>", b"a"), (b"a", b"b"), (b"always", b"the"), (b"zz", b"a")):
+        assert sum(prob(1, h, w) for w in everything) == pytest.approx(1)
+    assert max(c[b"a"], c[b"b"]) > p.part_entries  # so there are split contexts
     for d, t in tok.items():
         assert got[d]["n_tokens"] == len(t) and got[d]["train_tokens"] == n and got[d]["n_known"] == sum(c[w] > 0 for w in t)
-        assert got[d]["score"] == pytest.approx(sum(math.log10(prob(h, w)) for h, w in zip(["<s>", *t[:-1]], t, strict=True)))
+        want = [prob(1, (u, v), w) if k else prob(0, v, w) for k, (u, v, w) in enumerate(contexts[d])]
+        assert got[d]["score"] == pytest.approx(sum(map(math.log10, want)))
         assert got[d]["base_score"] == pytest.approx(sum(math.log10(uni(w)) for w in t))
 
 
