@@ -38,7 +38,7 @@ from . import common
 
 @dataclass(frozen=True)
 class Params:
-    samples: int = 32
+    samples: int = 64
     features: int = 1 << 16  #: rows of a table of variates, a power of two
     seed: int = 17
 
