@@ -31,37 +31,17 @@ def counted(df: DataFrame, array: str, name: str) -> DataFrame:
     return df.withColumns({name: counts, f"{name}_values": F.transform(e, lambda at: F.get(s, at - 1))}).drop(s, e)
 
 
-def entropy(counts: Column, n: Column) -> Column:
+def shannon(counts: Column, n: Column) -> Column:
     """Shannon entropy in bits of the distribution counts / n; 0 for none."""
     return F.aggregate(counts, F.lit(0.0), lambda a, c: a - c / n.cast("double") * F.log2(c / n.cast("double"))) + 0.0
 
 
-def ols(df: DataFrame, xs: str, ys: str) -> DataFrame:
-    """Adds slope, intercept (null where x is constant) and r2 of the least-squares
-    line through two arrays."""
-    n = F.size(xs).cast("double")
-    mul = lambda a, b: F.zip_with(a, b, lambda x, y: x * y)
-    df = df.withColumns({"_n": n, "_x": total(F.col(xs)), "_y": total(F.col(ys)), "_xy": total(mul(xs, ys)), "_xx": total(mul(xs, xs))})
-    spread = F.col("_n") * F.col("_xx") - F.col("_x") * F.col("_x")
-    df = df.withColumn("slope", (F.col("_n") * F.col("_xy") - F.col("_x") * F.col("_y")) / F.nullif(spread, F.lit(0.0)))
-    df = df.withColumn("intercept", (F.col("_y") - F.col("slope") * F.col("_x")) / F.nullif("_n", F.lit(0.0)))
-    square = lambda d: d * d
-    rest = total(F.zip_with(xs, ys, lambda x, y: square(y - F.col("slope") * x - F.col("intercept"))))
-    about = total(F.transform(ys, lambda y: square(y - F.col("_y") / F.col("_n"))))
-    return df.withColumn("r2", 1.0 - rest / (about + 1e-10)).drop("_n", "_x", "_y", "_xy", "_xx")
-
-
 def pearson_of(n: Column, sx: Column, sy: Column, sxy: Column, sxx: Column, syy: Column) -> Column:
     """Correlation from sums; 0 where a side is constant."""
     den = F.sqrt(F.greatest((n * sxx - sx * sx) * (n * syy - sy * sy), F.lit(0.0)))
     return F.coalesce((n * sxy - sx * sy) / F.nullif(den, F.lit(0.0)), F.lit(0.0))
 
 
-def pearson(xs: str, ys: str) -> Column:
-    mul = lambda a, b: total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
-    return pearson_of(F.size(xs).cast("double"), total(F.col(xs)), total(F.col(ys)), mul(xs, ys), mul(xs, xs), mul(ys, ys))
-
-
 def deepest(signs: Column) -> Column:
     """Greatest depth of a list of +1 and -1, where depth stays at 0 or above."""
     step = lambda a, s: F.struct(F.greatest(a["d"] + s, F.lit(0)).alias("d"), F.greatest(a["m"], a["d"] + s).alias("m"))

@@ -77,6 +77,13 @@ def kgrams(tokens: Column, k: int) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(F.array_join(tokens, " "))).otherwise(many)
 
 
+def kgram_hashes(tokens: Column, k: int) -> Column:
+    """Hashes (64 bits) of the runs of k tokens; of the whole, if it is shorter."""
+    n = F.size(tokens)
+    many = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.slice(tokens, i, F.lit(k))))
+    return F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, F.array(F.xxhash64(tokens))).otherwise(many)
+
+
 def language(path: Column, extensions: dict[str, str] | None = None) -> Column:
     """Language by extension, case-sensitive, or by file name if there is none."""
     table = F.create_map(*(F.lit(x) for kv in (extensions or vocab.language_of()).items() for x in kv))
@@ -131,7 +138,6 @@ def corpus(docs: DataFrame) -> DataFrame:
 def lexed(files: DataFrame, keywords: tuple[str, ...] = vocab.KEYWORDS) -> DataFrame:
     """`files` (path, content) with tokens, words, ids, lines and nb, the lines with
     something visible.  Columns that a query doesn't use are never computed."""
-    reserved = F.array(*(F.lit(k) for k in keywords))
     out = files.withColumns(
         {
             "tokens": found(F.col("content"), TOKEN),
@@ -139,4 +145,4 @@ def lexed(files: DataFrame, keywords: tuple[str, ...] = vocab.KEYWORDS) -> DataF
             "lines": lines(F.col("content")),
         }
     )
-    return out.withColumns({"ids": F.filter("words", lambda w: ~F.array_contains(reserved, w)), "nb": F.filter("lines", visible)})
+    return out.withColumns({"ids": F.filter("words", lambda w: ~w.isin(*keywords)), "nb": F.filter("lines", visible)})

@@ -29,10 +29,7 @@ COMMENTS = {
 }
 
 #: Directories that a scan skips, besides those whose names begin with a dot.
-SKIPPED = (
-    "node_modules", "vendor", "_build", "deps", "dist", "build", "target", "coverage", "__pycache__", "venv",
-    "env", "tmp", "log", "out", "bin", "obj", "priv",
-)
+SKIPPED = ("node_modules", "__pycache__", "_build", "dist", "build", "vendor", "venv", "target", "deps", "coverage")
 
 #: Reserved words that are common to many languages; a project's own
 #: list is given as `keywords`.

@@ -41,7 +41,7 @@ def swapped(states: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     the number of files stays, a missing side counts as 0, bounds only widen."""
     o = old.select("metric", "key", F.col("value").alias("_o"))
     w = new.select("metric", "key", F.col("value").alias("_w"))
-    d = states.join(F.broadcast(o), ["metric", "key"], "left").join(F.broadcast(w), ["metric", "key"], "left")
+    d = states.join(o, ["metric", "key"], "left").join(w, ["metric", "key"], "left")
     a, b = (F.coalesce(c, F.lit(0.0)) for c in ("_o", "_w"))
     return d.select(
         "metric", "key", "n", (F.col("s") - a.cast(_EXACT) + b.cast(_EXACT)).cast(_EXACT).alias("s"), (F.col("q") - a * a + b * b).alias("q"),
@@ -83,7 +83,7 @@ def correlations(series: DataFrame, all_groups: bool = False, least: float = 0.0
     snapshots = series.select("snapshot").distinct()
     n = snapshots.count()
     names = names.where((F.col("lo") != F.col("hi")) | ((F.col("n") < n) & (F.col("lo") != 0))).select("name")
-    grid = series.join(F.broadcast(names), "name").groupBy("name").agg(
+    grid = series.join(names, "name").groupBy("name").agg(
         F.map_from_entries(F.collect_list(F.struct("snapshot", "value"))).alias("at"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")
     )
     words = F.split(F.regexp_extract("name", r"^([^.]*)", 1), "[_,]")

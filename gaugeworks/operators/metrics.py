@@ -4,22 +4,21 @@ Each metric is a function of the lexed files (`functions.text.lexed`) and return
 path and its figures.  Figures that a file lacks are null.  Ratios and logarithmic
 figures are rounded to four places (densities of single marks to six), counts are
 longs.  A file without tokens, words or lines has zeros unless a docstring says
-otherwise.
+otherwise.  Figures that count tokens or fold over them come from one Arrow kernel
+(`folds`), all others are Column expressions.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import vocab
-from ..functions.stats import counted, deepest, entropy, ols, pearson, r4, total
+from ..functions.stats import counted, deepest, r4, shannon, total
+from . import folds
 
 Metric = Callable[[DataFrame], DataFrame]
 METRICS: dict[str, Metric] = {}
@@ -27,7 +26,7 @@ METRICS: dict[str, Metric] = {}
 _WIDE: dict[str, Metric] = {}
 #: Metrics that exist but are not part of a file's standard figures.
 EXTRA = ("bradford", "rfc")
-_OWN = ("path", "content", "snapshot", "language", "tokens", "words", "ids", "lines", "nb")
+_OWN = ("path", "content", "snapshot", "language", "tokens", "words", "ids", "lines", "nb", "folds")
 
 
 def _figures(d: DataFrame, *figures: Column) -> DataFrame:
@@ -60,31 +59,30 @@ def _log2(x: Column) -> Column:
 
 
 def _in(token: Column, words: tuple[str, ...]) -> Column:
-    return F.array_contains(F.array(*(F.lit(w) for w in words)), token)
+    return token.isin(*words)
 
 
-@metric
-def entropies(d: DataFrame) -> DataFrame:
-    """Entropy of bytes and of tokens, its maximum, their ratio, and sizes."""
-    d = d.withColumn("_b", X.found(F.hex(F.encode("content", "UTF-8")), "[0-9A-F]{2}"))
-    d = counted(counted(d, "_b", "bc"), "tokens", "tc")
-    out = {}
-    for name, counts, n in (("char", F.col("bc"), _n("_b")), ("token", F.col("tc"), _n("tokens"))):
-        h, top = entropy(counts, n), _log2(F.size(counts))
-        out |= {f"{name}_entropy": r4(h), f"{name}_max_entropy": r4(top), f"{name}_normalized": F.when(top > 0, r4(h / F.nullif(top, F.lit(0.0)))).otherwise(0.0)}
-    return _figures(d, *(c.alias(k) for k, c in out.items()), _n("tc").alias("vocab_size"), _n("tokens").alias("total_tokens"))
+def _folded(d: DataFrame, name: str) -> DataFrame:
+    """`d` with the kernel's figures, which the metrics of one pass share."""
+    return d if "folds" in d.columns else d.withColumn("folds", folds.kernel((name,))("content", "tokens", "ids"))
+
+
+def _of(name: str) -> list[Column]:
+    """The kernel's figures of a metric, rounded unless they are counts."""
+    at = lambda k: F.col(f"folds.{name}_{k}")
+    return [at(k[:-1]).alias(k[:-1]) if k.endswith("#") else r4(at(k)).alias(k) for k in folds.FIGURES[name]]
 
 
-@F.pandas_udf(T.LongType())
-def _deflated(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in parts:
-        yield s.map(lambda b: len(zlib.compress(b)) if b else 0)
+@metric
+def entropy(d: DataFrame) -> DataFrame:
+    """Entropy of bytes and of tokens, its maximum, their ratio, and sizes."""
+    return _figures(_folded(d, "entropy"), *_of("entropy"))
 
 
 @metric
 def compression(d: DataFrame) -> DataFrame:
     """Sizes before and after deflate, their ratio, redundancy, share of distinct lines."""
-    d = d.withColumns({"raw": F.octet_length("content").cast("long"), "z": _deflated(F.encode("content", "UTF-8"))})
+    d = _folded(d, "compression").withColumns({"raw": F.octet_length("content").cast("long"), "z": F.col("folds.compression_zlib_bytes")})
     return _figures(d, F.col("raw").alias("raw_bytes"),
         F.col("z").alias("zlib_bytes"),
         F.when(F.col("raw") > 0, r4(F.col("raw") / F.greatest("z", F.lit(1)))).otherwise(0.0).alias("zlib_ratio"),
@@ -103,129 +101,56 @@ def unique_lines(d: DataFrame) -> DataFrame:
 @metric
 def zipf(d: DataFrame) -> DataFrame:
     """Exponent and fit of log frequency on log rank; zeros under three types."""
-    d = counted(d, "tokens", "tc")
-    d = d.withColumn("_ys", F.transform(F.sort_array("tc", asc=False), lambda c: F.ln(c)))
-    d = ols(d.withColumn("_xs", F.transform("_ys", lambda _, i: F.ln(i + 1))), "_xs", "_ys")
-    few = F.size("tc") < 3
-    return _figures(d, F.when(few, 0.0).otherwise(r4(-F.col("slope"))).alias("exponent"), F.when(few, 0.0).otherwise(r4(F.col("r2"))).alias("r_squared"),
-        _n("tc").alias("vocab_size"), _n("tokens").alias("total_tokens"),
-    )
+    return _figures(_folded(d, "zipf"), *_of("zipf"))
 
 
 @metric
 def heaps(d: DataFrame) -> DataFrame:
     """Growth of the vocabulary, sampled about fifty times; zeros under five samples."""
-    n = F.size("tokens")
-    every = F.greatest(F.lit(1), F.floor(n / 50)).cast("int")
-    d = d.withColumn("_at", F.when(n > 0, F.sequence(every, F.greatest(n, every), every)).otherwise(F.array().cast("array<int>")))
-    d = d.withColumn("_ys", F.transform("_at", lambda i: F.ln(F.size(F.array_distinct(F.slice("tokens", F.lit(1), i))))))
-    d = ols(d.withColumn("_xs", F.transform("_at", lambda i: F.ln(i))), "_xs", "_ys")
-    few = F.size("_at") < 5
-    figures = {"k": F.exp("intercept"), "beta": F.col("slope"), "r_squared": F.col("r2")}
-    return _figures(d, *(F.when(few, 0.0).otherwise(r4(c)).alias(k) for k, c in figures.items()))
+    return _figures(_folded(d, "heaps"), *_of("heaps"))
 
 
 @metric
-def vocabulary(d: DataFrame, window: int = 100) -> DataFrame:
-    """Type-token ratios of identifiers, whole and over a moving window."""
-    n, distinct = F.size("ids"), F.size(F.array_distinct("ids"))
-    each = F.transform(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))), lambda i: F.size(F.array_distinct(F.slice("ids", i, F.lit(window)))))
-    moving = total(each) / F.size(each) / window
-    plain = distinct / F.nullif(n, F.lit(0))
-    return _figures(d, F.when(n > 0, r4(plain)).otherwise(0.0).alias("raw_ttr"),
-        F.when(n == 0, 0.0).when(n < window, r4(plain)).otherwise(r4(moving)).alias("mattr"),
-        distinct.cast("long").alias("unique_identifiers"), _n("ids").alias("total_identifiers"),
-    )
-
-
-def _mtld(ids: list[str], limit: float) -> float:
-    types: set[str] = set()
-    n, factors = 0, 0.0
-    for w in ids:
-        types.add(w)
-        n += 1
-        if len(types) / n <= limit:
-            types, n, factors = set(), 0, factors + 1
-    if n:
-        factors += (1 - len(types) / n) / (1 - limit)
-    return len(ids) / factors if factors else float(len(ids))
-
-
-@F.pandas_udf(T.StructType([T.StructField("f", T.DoubleType()), T.StructField("b", T.DoubleType())]))
-def _mtld_both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in parts:
-        yield pd.DataFrame({"f": [_mtld(list(x), 0.72) for x in s], "b": [_mtld(list(x)[::-1], 0.72) for x in s]})
+def vocabulary(d: DataFrame) -> DataFrame:
+    """Type-token ratios of identifiers, whole and over a moving window of a hundred, and
+    the distinct words in order."""
+    words = F.array_join(F.array_sort(F.array_distinct("words")), " ").alias("vocabulary")
+    return _figures(_folded(d, "vocabulary"), *_of("vocabulary"), words)
 
 
 @metric
 def mtld(d: DataFrame) -> DataFrame:
     """Mean length of runs that keep the type-token ratio above 0.72, forwards,
-    backwards, and their mean.  A fold over the words, so an Arrow kernel."""
-    d = d.withColumn("_m", _mtld_both("ids"))
-    f, b = F.col("_m.f"), F.col("_m.b")
-    return _figures(d, r4(f).alias("mtld_forward"), r4(b).alias("mtld_backward"), r4((f + b) / 2).alias("mtld"))
+    backwards, and their mean."""
+    return _figures(_folded(d, "mtld"), *_of("mtld"))
 
 
 @metric
 def lexical_concentration(d: DataFrame) -> DataFrame:
     """Yule's K and Simpson's D of the tokens; zeros under two tokens."""
-    d = counted(d, "tokens", "tc").withColumn("_n", F.size("tokens").cast("double"))
-    squares = total(F.transform("tc", lambda c: c * c))
-    n = F.col("_n")
-    k = (squares - n) * 10000 / F.nullif(n * n, F.lit(0.0))
-    s = (squares - n) / F.nullif(n * (n - 1), F.lit(0.0))
-    return _figures(d, F.when(n < 2, 0.0).otherwise(r4(k)).alias("yule_k"), F.when(n < 2, 0.0).otherwise(r4(s)).alias("simpson_d"), _n("tokens").alias("total_tokens"))
+    return _figures(_folded(d, "lexical_concentration"), *_of("lexical_concentration"))
 
 
 @metric
 def renyi_entropy(d: DataFrame) -> DataFrame:
-    """Entropies of order 0, 1, 2 and infinity, Hill numbers, and H0 - H2."""
-    d = counted(d, "tokens", "tc").withColumn("_n", F.size("tokens").cast("double"))
-    n = F.col("_n")
-    h = {
-        "h0": _log2(F.size("tc")),
-        "h1": entropy(F.col("tc"), n),
-        "h2": -F.log2(total(F.transform("tc", lambda c: c / n * c / n))),
-        "h_inf": -F.log2(F.array_max("tc") / F.nullif(n, F.lit(0.0))),
-    }
-    d = d.withColumns({k: F.when(n > 0, c).otherwise(0.0) for k, c in h.items()})
-    hill = [F.when(n > 0, r4(F.pow(F.lit(2.0), F.col(k)))).otherwise(0.0).alias(f"hill_{k[1]}") for k in ("h1", "h2")]
-    return _figures(d, *(r4(F.col(k)).alias(k) for k in h), *hill, r4(F.col("h0") - F.col("h2")).alias("spectrum_slope"))
-
-
-def _ngrams(k: int) -> Column:
-    n = F.size("tokens")
-    each = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("tokens", i, F.lit(k)), "\n"))
-    return F.when(n >= k, each).otherwise(F.array().cast("array<string>"))
+    """Entropies of order 0, 1, 2 and infinity, Hill numbers, and the first less the third."""
+    return _figures(_folded(d, "renyi_entropy"), *_of("renyi_entropy"))
 
 
 @metric
 def ngram(d: DataFrame) -> DataFrame:
     """Runs of two and three tokens: number, types, share of repeats, of hapaxes."""
-    out = []
-    for k, name in ((2, "bigram"), (3, "trigram")):
-        d = counted(d.withColumn(f"_{name}", _ngrams(k)), f"_{name}", name)
-        c, n = F.col(name), F.size(f"_{name}")
-        again = F.filter(c, lambda x: x > 1)
-        out += [
-            _n(f"_{name}").alias(f"{name}_total"), _n(name).alias(f"{name}_unique"), _ratio(total(again), n).alias(f"{name}_repetition_rate"),
-            _ratio(F.size(F.filter(c, lambda x: x == 1)), F.size(c)).alias(f"{name}_hapax_fraction"), _n(again).alias(f"{name}_repeated_unique"),
-        ]
-    return _figures(d, *out)
+    return _figures(_folded(d, "ngram"), *_of("ngram"))
 
 
 @metric
 def conditional_entropy(d: DataFrame) -> DataFrame:
     """Entropy of a token given the one before, perplexity (1 under two tokens), and
     the entropy's share of its maximum."""
-    d = d.withColumns({"_p": _ngrams(2), "_v": F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(0)))})
-    d = counted(counted(d, "_p", "pc"), "_v", "vc").withColumn("_n", F.size("_p"))
-    d = d.withColumn("h", F.when(F.col("_n") > 0, F.abs(entropy(F.col("pc"), F.col("_n")) - entropy(F.col("vc"), F.col("_n")))).otherwise(0.0))
-    top = _log2(F.size(F.array_distinct(F.slice("tokens", F.lit(2), F.greatest(F.size("tokens"), F.lit(1))))))
-    share = F.when(top > 0, r4(F.col("h") / F.nullif(top, F.lit(0.0)))).otherwise(0.0)
-    return _figures(d, r4(F.col("h")).alias("conditional_entropy"), r4(F.pow(F.lit(2.0), "h")).alias("perplexity"), share.alias("normalized_conditional_entropy"))
+    return _figures(_folded(d, "conditional_entropy"), *_of("conditional_entropy"))
 
 
+#: Operators and operands of the operator and operand counts.
 OPERATOR = (
     X.EDGE_L + "(?:" + "|".join(vocab.OPERATOR_WORDS) + ")" + X.EDGE_R
     + r"|==|!=|<=|>=|\+=|-=|\*=|/=|//=|%=|&=|\|=|\^=|\*\*=|<<=|>>=|->|:=|\.\.\.|[+\-*/%&|^~<>=!(){}\[\];:,.]"
@@ -240,21 +165,21 @@ def halstead(d: DataFrame) -> DataFrame:
         {"_o": X.found(F.col("content"), OPERATOR), "_a": F.filter(X.found(F.col("content"), OPERAND), lambda x: ~_in(x, vocab.OPERATOR_WORDS))}
     )
     n1, n2 = F.size(F.array_distinct("_o")).cast("long"), F.size(F.array_distinct("_a")).cast("long")
-    d = d.withColumns({"n1_unique_operators": n1, "n2_unique_operands": n2, "total_operators": _n("_o"), "total_operands": _n("_a")})
-    d = d.withColumns({"vocabulary": F.col("n1_unique_operators") + F.col("n2_unique_operands"), "length": F.col("total_operators") + F.col("total_operands")})
+    d = d.withColumns({"n1_unique_operators": n1, "n2_unique_operands": n2, "N1_total_operators": _n("_o"), "N2_total_operands": _n("_a")})
+    d = d.withColumns({"vocabulary": F.col("n1_unique_operators") + F.col("n2_unique_operands"), "length": F.col("N1_total_operators") + F.col("N2_total_operands")})
     d = d.withColumns(
         {
             "volume": F.when(F.col("vocabulary") > 1, F.col("length") * F.log2(F.greatest("vocabulary", F.lit(1)))).otherwise(0.0),
             "difficulty": F.when(
                 (F.col("vocabulary") > 1) & (F.col("n2_unique_operands") > 0),
-                F.col("n1_unique_operators") / 2 * (F.col("total_operands") / F.nullif("n2_unique_operands", F.lit(0))),
+                F.col("n1_unique_operators") / 2 * (F.col("N2_total_operands") / F.nullif("n2_unique_operands", F.lit(0))),
             ).otherwise(0.0),
         }
     )
     effort = F.col("difficulty") * F.col("volume")
     time = F.when(F.col("vocabulary") != 1, r4(effort / 18))
     rounded = {"volume": r4(F.col("volume")), "difficulty": r4(F.col("difficulty")), "effort": r4(effort), "estimated_bugs": r4(F.col("volume") / 3000), "time_to_implement_seconds": time}
-    counts = ("n1_unique_operators", "n2_unique_operands", "total_operators", "total_operands", "vocabulary", "length")
+    counts = ("n1_unique_operators", "n2_unique_operands", "N1_total_operators", "N2_total_operands", "vocabulary", "length")
     return _figures(d, *(F.col(c) for c in counts), *(c.alias(k) for k, c in rounded.items()))
 
 
@@ -298,7 +223,7 @@ def casing_entropy(d: DataFrame) -> DataFrame:
     by = F.map_from_arrays("cc_values", "cc")
     counts = [F.element_at(by, s).alias(f"{s}_count") for s in STYLES]
     macro = _ratio(F.coalesce(F.element_at(by, "macro_case"), F.lit(0)), F.size("_c"))
-    return _figures(d, r4(entropy(F.col("cc"), F.size("_c"))).alias("entropy"), macro.alias("screaming_snake_density"), *counts)
+    return _figures(d, r4(shannon(F.col("cc"), F.size("_c"))).alias("entropy"), macro.alias("screaming_snake_density"), *counts)
 
 
 def _variance(array: str) -> Column:
@@ -344,6 +269,7 @@ def branching(d: DataFrame) -> DataFrame:
     return _figures(d, _ratio(count, F.size("nb")).alias("branching_density"), count.cast("long").alias("branch_count"), _n("nb").alias("non_blank_count"), _nesting().alias("max_nesting_depth"))
 
 
+#: Lines that define a function.
 DEFINITION = (
     r"^\s*(?:async\s+|pub\s+(?:async\s+)?)?(?:def|defp|defmacro|defmacrop|defguard|defdelegate|function|func|fun|fn)" + X.EDGE_R
 )
@@ -378,6 +304,7 @@ def function_metrics(d: DataFrame) -> DataFrame:
     return _figures(d, *out)
 
 
+#: A number.
 NUMBER = X.EDGE_L + r"[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?" + X.EDGE_R
 #: Numbers that are not magic.
 PLAIN_NUMBERS = ("0", "1", "2", "0.0", "1.0", "0.5")
@@ -387,7 +314,7 @@ PLAIN_NUMBERS = ("0", "1", "2", "0.0", "1.0", "0.5")
 def magic_number_density(d: DataFrame) -> DataFrame:
     """Numbers other than the plain ones, and double-quoted strings, per token."""
     magic = F.size(F.filter(X.found(F.col("content"), NUMBER), lambda x: ~x.isin(*PLAIN_NUMBERS)))
-    n, strings = F.size("tokens"), X.matches(F.col("content"), r'"(?:[^"\\\n]|\\.)*"')
+    n, strings = F.size("tokens"), X.matches(F.col("content"), r'"(?:[^"\\]++|\\[^\n])*+"')
     return _figures(d, _ratio(magic, n).alias("density"), F.when(n > 0, magic).otherwise(0).cast("long").alias("magic_number_count"),
         _ratio(strings, n).alias("string_literal_ratio"),
     )
@@ -411,13 +338,7 @@ def vowel_density(d: DataFrame) -> DataFrame:
 @metric
 def brevity(d: DataFrame) -> DataFrame:
     """Length against frequency of distinct tokens; zeros under three types."""
-    d = counted(d, "tokens", "tc").withColumn("_l", F.transform("tc_values", lambda t: F.char_length(t)))
-    d = d.withColumns({"_xs": F.transform("_l", lambda x: F.ln(x)), "_ys": F.transform("tc", lambda c: F.ln(c))})
-    d = ols(d, "_xs", "_ys")
-    few = F.size("tc") < 3
-    return _figures(d, F.when(few, 0.0).otherwise(r4(pearson("_l", "tc"))).alias("correlation"),
-        F.when(few, 0.0).otherwise(F.coalesce(r4(F.col("slope")), F.lit(0.0))).alias("slope"), _n("tc").alias("sample_size"),
-    )
+    return _figures(_folded(d, "brevity"), *_of("brevity"))
 
 
 @metric
@@ -462,6 +383,7 @@ def line_patterns(d: DataFrame) -> DataFrame:
     )
 
 
+#: Statements that end a scope, and lines that end or go on with one.
 TERMINAL = r"^\s*(return|raise|throw|break|continue)" + X.EDGE_R
 INLINE = X.EDGE_L + "(return|raise|throw)" + X.EDGE_R
 BOUNDARY = r"^\s*([)\]}]|(end|else|elsif|when|case|catch|rescue|finally)" + X.EDGE_R + r"|default\s*:)"
@@ -501,21 +423,18 @@ def bradford(d: DataFrame) -> DataFrame:
     three lines or tokens."""
     d = d.withColumn("_c", F.sort_array(F.filter(F.transform("lines", lambda x: X.matches(x, X.TOKEN)), lambda n: n > 0), asc=False))
     third = F.size("tokens") / 3.0
-    start = F.struct(F.lit(0).alias("n1"), F.lit(0).alias("n2"), F.lit(0).cast("long").alias("s"))
+    start = F.struct(F.lit(0).alias("zone"), F.lit(0).alias("n1"), F.lit(0).alias("n2"), F.lit(0).cast("long").alias("held"))
 
     def step(a: Column, c: Column) -> Column:
-        """n1 and n2 stay negative while their zone is being filled."""
-        full = a["s"] + c >= third
-        first, second = a["n1"] <= 0, (a["n1"] > 0) & (a["n2"] <= 0)
-        up = lambda n: F.when(full, 1 - n).otherwise(n - 1)
+        """Lines of the first two zones; `held` are the tokens of the zone being filled."""
+        full = a["held"] + c >= third
         return F.struct(
-            F.when(first, up(a["n1"])).otherwise(a["n1"]).alias("n1"),
-            F.when(second, up(a["n2"])).otherwise(a["n2"]).alias("n2"),
-            F.when(full, 0).otherwise(a["s"] + c).alias("s"),
-        )
+            (a["zone"] + full.cast("int")).alias("zone"), (a["n1"] + (a["zone"] == 0).cast("int")).alias("n1"), (a["n2"] + (a["zone"] == 1).cast("int")).alias("n2"),
+            F.when(full, 0).otherwise(a["held"] + c).alias("held"),
+        )
 
     d = d.withColumn("_z", F.aggregate("_c", start, step))
-    d = d.withColumns({"_1": F.abs("_z.n1"), "_2": F.abs("_z.n2")})
+    d = d.withColumns({"_1": F.col("_z.n1"), "_2": F.col("_z.n2")})
     d = d.withColumns({"k1": _ratio(F.col("_2"), F.col("_1")), "k2": _ratio(F.size("_c") - F.col("_1") - F.col("_2"), F.col("_2"))})
     few = (F.size("_c") < 3) | (F.size("tokens") < 3)
     figures = {"k1": F.col("k1"), "k2": F.col("k2"), "k_ratio": _ratio(F.col("k2"), F.col("k1"))}
@@ -546,6 +465,9 @@ def file_metrics(files: DataFrame, names: list[str] | None = None, keywords: tup
     """(path, metric, key, value): the numeric figures of every file in long form, all
     metrics in one pass over the files; figures that a file lacks have no row."""
     wide, names = X.lexed(files, keywords), names or standard()
+    counting = tuple(n for n in names if n in folds.FIGURES)
+    if counting:
+        wide = wide.withColumn("folds", folds.kernel(counting)("content", "tokens", "ids"))
     for name in names:
         wide = _WIDE[name](wide).withColumnRenamed("figures", f"figures_{name}")
     pairs = []

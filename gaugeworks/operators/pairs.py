@@ -1,8 +1,11 @@
 """Pairs of similar texts by shared shingles.
 
-Texts with the same shingles are one class, compared once; classes are paired on
-their shingles with an equi-join, and shingles of more than `most` classes pair
-nothing (most is infinite unless a caller prunes).
+Shingles are 64-bit hashes of runs of words.  Texts with the same shingles are one
+class, compared once.  Classes are paired by prefixes: in one order, the rarest
+shingles first, two sets that are similar enough share one of the first members of
+each, as many as could be missing from the other and one more.  So frequent shingles
+pair nothing as long as a text has others, and no pair is lost; the pairs found are
+compared on their full sets.
 """
 
 from __future__ import annotations
@@ -16,8 +19,8 @@ from ..functions.stats import r4
 
 
 def shingled(files: DataFrame, k: int = 5) -> DataFrame:
-    """path, grams: the distinct k-grams of a file's words."""
-    grams = X.let(X.found(F.lower("content"), X.RUN), lambda w: F.array_sort(F.array_distinct(X.kgrams(w, k))))
+    """path, grams: the distinct k-grams of a file's words, as hashes in order."""
+    grams = X.let(X.found(F.lower("content"), X.RUN), lambda w: F.array_sort(F.array_distinct(X.kgram_hashes(w, k))))
     return files.select("path", grams.alias("grams"))
 
 
@@ -33,15 +36,25 @@ def classes(grams: DataFrame) -> DataFrame:
 
 
 def jaccard_pairs(grams: DataFrame, least: float = 0.2, most: int | None = None) -> DataFrame:
-    """a, b, shared, jaccard of the classes whose shingle sets reach the similarity."""
-    c = classes(grams)
-    sides = c.select("class", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    """a, b, shared, jaccard of the classes whose shingle sets reach the similarity.
+    Shingles of more than `most` classes pair nothing; without it no pair is lost."""
+    c = classes(grams).withColumn("n", F.size("grams"))
+    sides = c.select("class", "n", F.explode("grams").alias("g"))
+    count = sides.groupBy("g").agg(F.count("*").alias("df"))
+    ranked = sides.join(count.where("df > 1"), "g", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     if most is not None:
-        common = sides.groupBy("g").agg(F.count("*").alias("df")).where(F.col("df") > most)
-        sides = sides.join(common, "g", "left_anti")
-    a, b = (sides.select("g", F.col("class").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
-    d = a.join(b, "g").where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    d = d.withColumn("j", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")))
+        ranked = ranked.where(F.col("df") <= most)
+    at = F.row_number().over(W.partitionBy("class").orderBy("df", "g"))
+    first = ranked.withColumn("at", at).where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & (F.col("df") > 1))
+    a, b = (first.select("g", F.col("class").alias(k), F.col("n").alias(f"n_{k}"), F.col("at").alias(f"at_{k}")) for k in "ab")
+    # neither the sizes nor the members after this one rule the pair out
+    possible = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + 1
+    d = a.join(b, "g").where("a < b").where(possible & (rest + F.least("at_a", "at_b") - 1 >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9))
+    d = d.select("a", "b").distinct()
+    of = lambda k: c.select(F.col("class").alias(k), F.col("grams").alias(f"grams_{k}"))
+    d = d.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.size(F.array_intersect("grams_a", "grams_b")).cast("long"))
+    d = d.withColumn("j", F.col("shared") / (F.size("grams_a") + F.size("grams_b") - F.col("shared")))
     return d.where(F.col("j") >= least).select("a", "b", "shared", r4(F.col("j")).alias("jaccard"))
 
 

@@ -31,7 +31,7 @@ def _ln(value: Column) -> Column:
 def product_scores(aggregate: DataFrame, weights: DataFrame) -> DataFrame:
     """Logarithm of the product of powers; values that are absent or not positive
     count as 1."""
-    d = weights.join(F.broadcast(aggregate), ["grp", "key"], "left")
+    d = weights.join(aggregate, ["grp", "key"], "left")
     log = F.when(F.col("value") > 0, F.ln(F.when(F.col("value") > 0, F.col("value")).otherwise(1.0))).otherwise(0.0)
     return d.groupBy("category", "behavior").agg(r4(F.sum(F.col("scalar") * log)).alias("log_score"))
 
@@ -42,16 +42,16 @@ def cosines(aggregate: DataFrame, weights: DataFrame, by: list[str] = ()) -> Dat
     keyed = ["category", "behavior"]
     sizes = weights.groupBy(*keyed).agg(F.sum(F.col("scalar") * F.col("scalar")).alias("ss"))
     # an absent key has the logarithm 0 and adds to no sum but that of the scalars
-    d = aggregate.join(F.broadcast(weights), ["grp", "key"]).withColumn("l", _ln(F.col("value")))
+    d = aggregate.join(weights, ["grp", "key"]).withColumn("l", _ln(F.col("value")))
     s = d.groupBy(*by, *keyed).agg(F.sum(F.col("scalar") * F.col("l")).alias("dot"), F.sum(F.col("l") * F.col("l")).alias("ll"))
-    s = s.join(F.broadcast(sizes), keyed, "inner" if by else "right")
+    s = s.join(sizes, keyed, "inner" if by else "right")
     size = F.sqrt(F.col("ss")) * F.sqrt(F.col("ll"))
     return s.select(*by, *keyed, r4(F.coalesce(F.col("dot") / F.nullif(size, F.lit(0.0)), F.lit(0.0))).alias("cosine"))
 
 
 def top_metrics(aggregate: DataFrame, weights: DataFrame, n: int = 5) -> DataFrame:
     """The n smallest contributions to each behaviour; ties by group and key."""
-    d = weights.join(F.broadcast(aggregate), ["grp", "key"], "left").withColumn("contribution", r4(F.col("scalar") * _ln(F.col("value"))))
+    d = weights.join(aggregate, ["grp", "key"], "left").withColumn("contribution", r4(F.col("scalar") * _ln(F.col("value"))))
     rank = F.row_number().over(W.partitionBy("category", "behavior").orderBy("contribution", "grp", "key"))
     return d.withColumn("rank", rank.cast("long")).where(F.col("rank") <= n).select("category", "behavior", "rank", "grp", "key", "contribution")
 
@@ -67,7 +67,7 @@ def learn(good: DataFrame, bad: DataFrame) -> DataFrame:
     difference of logarithms, 2 for the largest; keys without a difference go."""
     g, b = (x.where("value > 0").select("grp", "key", F.col("value").alias(n)) for x, n in ((good, "good"), (bad, "bad")))
     d = g.join(b, ["grp", "key"]).withColumn("diff", F.ln("good") - F.ln("bad")).withColumn("ratio", F.col("good") / F.col("bad"))
-    most = F.max(F.abs("diff")).over(W.partitionBy(F.lit(0)))
+    most = d.agg(F.max(F.abs("diff"))).scalar()
     d = d.withColumn("scalar", F.coalesce(2 * F.col("diff") / F.nullif(most, F.lit(0.0)), F.lit(0.0))).where(~F.col("ratio").between(0.995, 1.005))
     return d.select("grp", "key", "good", "bad", r4(F.col("ratio")).alias("ratio"), r4(F.col("scalar")).alias("scalar"))
 

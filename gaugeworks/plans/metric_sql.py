@@ -61,7 +61,7 @@ def _hs(counts: str, n: str) -> str:
 
 
 _CTES: dict[str, tuple[str, str]] = {
-    "entropies": (
+    "entropy": (
         """bc AS (SELECT path, b, count(*)::DOUBLE AS c FROM (SELECT path, unnest(regexp_extract_all(hex(encode(content)), '[0-9A-F]{2}')) AS b FROM f) GROUP BY ALL),
         be AS (SELECT path, -sum(c / n * log2(c / n)) AS h, count(*) AS v FROM (SELECT *, sum(c) OVER (PARTITION BY path) AS n FROM bc) GROUP BY path),
         te AS (SELECT path, -sum(c / n * log2(c / n)) AS h FROM (SELECT *, sum(c) OVER (PARTITION BY path) AS n FROM tc) GROUP BY path)""",
@@ -88,9 +88,10 @@ _CTES: dict[str, tuple[str, str]] = {
     "vocabulary": (
         """ic AS (SELECT path, count(*) AS n, count(DISTINCT w) AS d FROM ids GROUP BY path),
         prev AS (SELECT path, pos, coalesce(lag(pos) OVER (PARTITION BY path, w ORDER BY pos), 0) AS p FROM ids),
+        vw AS (SELECT path, array_to_string(list_sort(list(DISTINCT w)), ' ') AS vw FROM w GROUP BY path),
         mv AS (SELECT path, sum(greatest(0, least(pos, n - 99) - greatest(p + 1, pos - 99, 1) + 1)) / (n - 99.0) / 100 AS m FROM prev JOIN ic USING (path) WHERE n >= 100 GROUP BY path, n)""",
-        f"""SELECT path, {_div('d', 'n')} AS raw_ttr, CASE WHEN n >= 100 THEN round(m, 4) ELSE {_div('d', 'n')} END AS mattr, coalesce(d, 0) AS unique_identifiers, coalesce(n, 0) AS total_identifiers
-        FROM f LEFT JOIN ic USING (path) LEFT JOIN mv USING (path)""",
+        f"""SELECT path, {_div('d', 'n')} AS raw_ttr, CASE WHEN n >= 100 THEN round(m, 4) ELSE {_div('d', 'n')} END AS mattr, coalesce(d, 0) AS unique_identifiers, coalesce(n, 0) AS total_identifiers, coalesce(vw, '') AS vocabulary
+        FROM f LEFT JOIN ic USING (path) LEFT JOIN mv USING (path) LEFT JOIN vw USING (path)""",
     ),
     "lexical_concentration": (
         "s AS (SELECT path, sum(c * c)::DOUBLE AS q FROM tc GROUP BY path)",
@@ -99,7 +100,7 @@ _CTES: dict[str, tuple[str, str]] = {
     ),
     "renyi_entropy": (
         """p AS (SELECT path, count(*) AS v, -sum(c / n * log2(c / n)) AS h1, -log2(sum((c / n) * (c / n))) AS h2, -log2(max(c / n)) AS hi FROM (SELECT path, c::DOUBLE AS c, sum(c) OVER (PARTITION BY path)::DOUBLE AS n FROM tc) GROUP BY path)""",
-        """SELECT path, coalesce(round(log2(v), 4), 0.0) AS h0, coalesce(round(h1, 4) + 0.0, 0.0) AS h1, coalesce(round(h2, 4) + 0.0, 0.0) AS h2, coalesce(round(hi, 4) + 0.0, 0.0) AS h_inf,
+        """SELECT path, coalesce(round(log2(v), 4), 0.0) AS renyi_0, coalesce(round(h1, 4) + 0.0, 0.0) AS renyi_1, coalesce(round(h2, 4) + 0.0, 0.0) AS renyi_2, coalesce(round(hi, 4) + 0.0, 0.0) AS renyi_inf,
         coalesce(round(2 ** h1, 4), 0.0) AS hill_1, coalesce(round(2 ** h2, 4), 0.0) AS hill_2, coalesce(round(log2(v) - h2, 4) + 0.0, 0.0) AS spectrum_slope FROM f LEFT JOIN p USING (path)""",
     ),
     "lexical_density": (
@@ -130,7 +131,7 @@ _CTES: dict[str, tuple[str, str]] = {
         f"SELECT path, {_div('coalesce(c, 0)', 'lc.nb')} AS branching_density, coalesce(c, 0) AS branch_count, lc.nb AS non_blank_count, coalesce(greatest(d, 0), 0)::BIGINT AS max_nesting_depth FROM f JOIN lc USING (path) LEFT JOIN b USING (path) LEFT JOIN depth USING (path)",
     ),
     "magic_number_density": (
-        "m AS (SELECT path, len(list_filter(regexp_extract_all(content, '" + _re(M.NUMBER) + "'), lambda x: x NOT IN " + _words(M.PLAIN_NUMBERS) + ")) AS k, " + count("content", r'"(?:[^"\\\n]|\\.)*"') + " AS s FROM f)",
+        "m AS (SELECT path, len(list_filter(regexp_extract_all(content, '" + _re(M.NUMBER) + "'), lambda x: x NOT IN " + _words(M.PLAIN_NUMBERS) + ")) AS k, " + count("content", r'"(?:[^"\\]|\\[^\n])*"') + " AS s FROM f)",
         f"SELECT path, {_div('k', 'n')} AS density, CASE WHEN n > 0 THEN k ELSE 0 END::BIGINT AS magic_number_count, {_div('s', 'n')} AS string_literal_ratio FROM f JOIN m USING (path) LEFT JOIN tn USING (path)",
     ),
     "symbol_density": (
@@ -145,7 +146,7 @@ _CTES: dict[str, tuple[str, str]] = {
         _ols("SELECT path, ln(length(t)) AS x, ln(c) AS y FROM tc")
         + ", co AS (SELECT path, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy, sum(x * x) AS sxx, sum(y * y) AS syy FROM (SELECT path, length(t)::DOUBLE AS x, c::DOUBLE AS y FROM tc) GROUP BY path)",
         """SELECT path, CASE WHEN coalesce(tn.v, 0) < 3 THEN 0.0 ELSE coalesce(round((co.n * sxy - sx * sy) / nullif(sqrt(greatest((co.n * sxx - sx * sx) * (co.n * syy - sy * sy), 0)), 0), 4) + 0.0, 0.0) END AS correlation,
-        CASE WHEN coalesce(tn.v, 0) < 3 THEN 0.0 ELSE coalesce(round(slope, 4) + 0.0, 0.0) END AS slope, coalesce(tn.v, 0) AS sample_size FROM f LEFT JOIN r USING (path) LEFT JOIN co USING (path) LEFT JOIN tn USING (path)""",
+        CASE WHEN coalesce(tn.v, 0) < 3 OR co.n * sxx = sx * sx THEN 0.0 ELSE coalesce(round(slope, 4) + 0.0, 0.0) END AS slope, coalesce(tn.v, 0) AS sample_size FROM f LEFT JOIN r USING (path) LEFT JOIN co USING (path) LEFT JOIN tn USING (path)""",
     ),
     "separator_counts": (
         "",
@@ -175,7 +176,7 @@ _CTES: dict[str, tuple[str, str]] = {
         f"""o AS (SELECT path, unnest(regexp_extract_all(trim(content), '{_re(M.OPERATOR)}')) AS x FROM f), a AS (SELECT path, x FROM (SELECT path, unnest(regexp_extract_all(content, '{_re(M.OPERAND)}')) AS x FROM f) WHERE x NOT IN {_words(vocab.OPERATOR_WORDS)}),
         h AS (SELECT f.path, coalesce(o1, 0) AS o1, coalesce(a1, 0) AS a1, coalesce(o2, 0) AS o2, coalesce(a2, 0) AS a2 FROM f LEFT JOIN (SELECT path, count(DISTINCT x) AS o1, count(*) AS o2 FROM o GROUP BY path) USING (path) LEFT JOIN (SELECT path, count(DISTINCT x) AS a1, count(*) AS a2 FROM a GROUP BY path) USING (path)),
         v AS (SELECT *, CASE WHEN o1 + a1 > 1 THEN (o2 + a2) * log2(o1 + a1) ELSE 0.0 END AS vol, CASE WHEN o1 + a1 > 1 AND a1 > 0 THEN o1 / 2 * (a2 / a1) ELSE 0.0 END AS dif FROM h)""",
-        """SELECT path, o1 AS n1_unique_operators, a1 AS n2_unique_operands, o2 AS total_operators, a2 AS total_operands, o1 + a1 AS vocabulary, o2 + a2 AS length, round(vol, 4) + 0.0 AS volume, round(dif, 4) + 0.0 AS difficulty,
+        """SELECT path, o1 AS n1_unique_operators, a1 AS n2_unique_operands, o2 AS N1_total_operators, a2 AS N2_total_operands, o1 + a1 AS vocabulary, o2 + a2 AS length, round(vol, 4) + 0.0 AS volume, round(dif, 4) + 0.0 AS difficulty,
         round(dif * vol, 4) + 0.0 AS effort, round(vol / 3000, 4) + 0.0 AS estimated_bugs, CASE WHEN o1 + a1 <> 1 THEN round(dif * vol / 18, 4) + 0.0 END AS time_to_implement_seconds FROM v""",
     ),
     "rfc": (
@@ -238,6 +239,39 @@ def _ngram() -> tuple[str, str]:
 _CTES["ngram"] = _ngram()
 
 
+def _mtld() -> tuple[str, str]:
+    """A fold over a file's identifiers, forwards and backwards: the words of the run, its
+    length, the number of runs."""
+    state = "{{'w': '', 's': []::VARCHAR[], 'n': 0, 'k': 0}}"
+    step = "CASE WHEN len(list_distinct(list_append(a.s, b.w))) / (a.n + 1) <= 0.72 THEN {'w': '', 's': []::VARCHAR[], 'n': 0, 'k': a.k + 1} ELSE {'w': '', 's': list_distinct(list_append(a.s, b.w)), 'n': a.n + 1, 'k': a.k} END"
+    item = "{'w': w, 's': []::VARCHAR[], 'n': 0, 'k': 0}"
+    ctes = [
+        f"{name} AS (SELECT path, t, r.k + CASE WHEN r.n > 0 THEN (1 - len(r.s) / r.n) / (1 - 0.72) ELSE 0 END AS k FROM (SELECT path, count(*) AS t, list_reduce(list({item} ORDER BY pos {way}), lambda a, b: {step}, {state.format()}) AS r FROM ids GROUP BY path))"
+        for name, way in (("fw", "ASC"), ("bw", "DESC"))
+    ]
+    of = lambda x: f"coalesce(CASE WHEN {x}.k > 0 THEN {x}.t / {x}.k ELSE {x}.t END, 0.0)"
+    return ", ".join(ctes), f"SELECT path, round({of('fw')}, 4) AS mtld_forward, round({of('bw')}, 4) AS mtld_backward, round(({of('fw')} + {of('bw')}) / 2, 4) AS mtld FROM f LEFT JOIN fw USING (path) LEFT JOIN bw USING (path)"
+
+
+_CTES["mtld"] = _mtld()
+
+
+def _unreachable() -> tuple[str, str]:
+    """A fold over the visible lines: terminal statements, dead lines, and the indent of
+    the terminal that is in force, or -1."""
+    step = """CASE WHEN a.at >= 0 AND NOT (b.i < a.at OR (b.i <= a.at AND b.b)) THEN {'i': 0, 'b': false, 't': false, 's': false, 'n': a.n, 'u': a.u + 1, 'at': a.at}
+      ELSE {'i': 0, 'b': false, 't': false, 's': false, 'n': a.n + (b.t OR b.s)::INT, 'u': a.u, 'at': CASE WHEN b.t THEN b.i ELSE -1 END} END"""
+    opened, closed = (f"len(regexp_extract_all(l, '{p}'))" for p in (r"[(\[{]", r"[}\])]"))
+    item = f"""{{'i': length(regexp_extract(l, '^(\\s*)', 1)), 'b': regexp_matches(l, '{_re(M.BOUNDARY)}'), 't': regexp_matches(l, '{_re(M.TERMINAL)}') AND {opened} <= {closed},
+      's': NOT regexp_matches(l, '{_re(M.TERMINAL)}') AND regexp_matches(l, '{_re(M.INLINE)}'), 'n': 0, 'u': 0, 'at': -1}}"""
+    first = "{'i': 0::BIGINT, 'b': false, 't': false, 's': false, 'n': 0, 'u': 0, 'at': -1::BIGINT}"
+    ctes = f"k AS (SELECT path, list_reduce(list({item} ORDER BY no), lambda a, b: {step}, {first}) AS r FROM nb GROUP BY path)"
+    return ctes, f"SELECT path, {_div('r.u', 'lc.nb')} AS unreachable_after_terminal_ratio, coalesce(r.n, 0)::BIGINT AS terminal_statement_count, coalesce(r.u, 0)::BIGINT AS unreachable_line_count FROM f JOIN lc USING (path) LEFT JOIN k USING (path)"
+
+
+_CTES["unreachable_code"] = _unreachable()
+
+
 def sql(name: str) -> str:
     ctes, body = _CTES[name]
     return f"WITH {PRELUDE}{',' + ctes if ctes else ''}\n{body}"
@@ -247,14 +281,18 @@ def all_sql() -> dict[str, str]:
     return {f"m_{n}": sql(n) for n in _CTES}
 
 
-def long_form(names: list[str]) -> str:
+#: The standard metrics; of `compression` what needs no deflate.
+STANDARD = [n for n in ["unique_lines", *M.standard()] if n in _CTES]
+
+
+def long_form(names: list[str] = STANDARD) -> str:
     """CTEs that end in fm (path, snapshot, metric, key, value) over these metrics."""
     parts, union = [PRELUDE], []
     for n in names:
         ctes, body = _CTES[n]
         parts.append(f"x_{n} AS ({f'WITH {ctes} {body}' if ctes else body})")
-        left = "path, uses_tabs" if n == "indentation" else "path"
-        union.append(f"SELECT path, '{n}' AS metric, key, value FROM (UNPIVOT (SELECT path, COLUMNS(* EXCLUDE ({left}))::DOUBLE FROM x_{n}) ON COLUMNS(* EXCLUDE (path)) INTO NAME key VALUE value)")
+        left = {"indentation": "path, uses_tabs", "vocabulary": "path, vocabulary"}.get(n, "path")
+        union.append(f"SELECT path, '{"compression" if n == "unique_lines" else n}' AS metric, key, value FROM (UNPIVOT (SELECT path, COLUMNS(* EXCLUDE ({left}))::DOUBLE FROM x_{n}) ON COLUMNS(* EXCLUDE (path)) INTO NAME key VALUE value)")
     parts.append("fm0 AS (" + " UNION ALL ".join(union) + ")")
     parts.append("fm AS (SELECT fm0.*, snapshot FROM fm0 JOIN f USING (path))")
     return ", ".join(parts)

@@ -20,12 +20,8 @@ from . import metric_sql as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The metrics whose figures the corpus-wide queries use.
-FIGURES = [
-    "entropies", "zipf", "lexical_concentration", "renyi_entropy", "ngram", "halstead", "readability", "lexical_density", "casing_entropy",
-    "identifier_length_variance", "indentation", "branching", "function_metrics", "magic_number_density", "symbol_density", "vowel_density",
-    "separator_counts", "comment_structure",
-]
+#: Figures that need deflate, which the SQL side does not have.
+DEFLATED = ["zlib_bytes", "zlib_ratio", "redundancy"]
 #: Globs of the ignore query.
 GLOBS = ["src1*/*", "**/*7", "src?/1?"]
 
@@ -40,7 +36,17 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.file_metrics(files(spark, sf_dir), FIGURES)
+    """All figures of all standard metrics."""
+    return metrics.file_metrics(files(spark, sf_dir))
+
+
+def _is_deflated():
+    return (F.col("metric") == "compression") & F.col("key").isin(*DEFLATED)
+
+
+def relational(figures_: DataFrame) -> DataFrame:
+    """All figures but those of deflate."""
+    return figures_.where(~_is_deflated())
 
 
 def _metric(name: str) -> Query:
@@ -120,31 +126,40 @@ def glob_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg_codebase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.codebase(figures(spark, sf_dir))
+    return A.codebase(relational(figures(spark, sf_dir)))
+
+
+def agg_deflated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rest of the aggregate: what deflate says of the files."""
+    return A.codebase(metrics.file_metrics(files(spark, sf_dir), ["compression"]).where(_is_deflated()))
 
 
 def agg_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The aggregate after document 0's figures were replaced by document 1's."""
-    f = figures(spark, sf_dir)
+    f = relational(figures(spark, sf_dir))
     one = lambda k: f.where(F.col("path").endswith(f"/{k}"))
     return A.finalize(A.swapped(A.state(f), one(0), one(1)))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The aggregate of every source as a snapshot, in one job."""
-    return A.codebase(figures(spark, sf_dir), ["snapshot"])
+    return A.codebase(relational(figures(spark, sf_dir)), ["snapshot"])
+
+
+def history_deflated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.codebase(metrics.file_metrics(files(spark, sf_dir), ["compression"]).where(_is_deflated()), ["snapshot"])
 
 
 def compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means of documents in English, less those of the others."""
+    """Means of documents in English, less those of the others (or of none)."""
     docs = table(spark, sf_dir, "documents")
-    sides = [A.flat(A.codebase(metrics.file_metrics(X.corpus(docs.where(w)), FIGURES))) for w in ("lang <> 'en'", "lang = 'en'")]
+    sides = [A.flat(A.codebase(relational(metrics.file_metrics(X.corpus(docs.where(w)))))) for w in ("NOT lang <=> 'en'", "lang <=> 'en'")]
     return A.delta(*sides).where(F.col("key").startswith("mean_"))
 
 
 def correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlations over the sources of the mean figures of different groups."""
-    h = A.flat(A.codebase(figures(spark, sf_dir), ["snapshot"]), ["snapshot"]).where(F.col("key").startswith("mean_"))
+    h = A.flat(history(spark, sf_dir), ["snapshot"]).where(F.col("key").startswith("mean_"))
     return A.correlations(h.select("snapshot", F.concat_ws(".", "grp", "key").alias("name"), "value"), least=0.5)
 
 
@@ -161,21 +176,28 @@ def power_law(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- grades ---------------------------------------------------------------------
 
 
-def _means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agg_codebase(spark, sf_dir).select("metric", "key", F.col("mean").alias("value"))
+def _means(figures_: DataFrame) -> DataFrame:
+    return A.codebase(figures_).select("metric", "key", F.col("mean").alias("value"))
 
 
 def _limits(spark: SparkSession) -> DataFrame:
-    return G.thresholds(spark, [r for r in G.CATEGORIES if r[1] in FIGURES])
+    return G.thresholds(spark)
+
+
+def _limits_relational(spark: SparkSession) -> DataFrame:
+    return G.thresholds(spark, [r for r in G.CATEGORIES if r[2] not in DEFLATED])
 
 
 def grade_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = G.scored(_means(spark, sf_dir), [], _limits(spark))
+    d = G.scored(_means(figures(spark, sf_dir)), [], _limits(spark))
     return d.select("category", "metric", "key", "value", "score")
 
 
 def grade_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.grade_categories(_means(spark, sf_dir), [], _limits(spark))
+    """Category grades of the corpus, by all thresholds."""
+    grades = G.grade_categories(_means(figures(spark, sf_dir)), [], _limits(spark))
+    poor = G.scored(_means(figures(spark, sf_dir)), [], _limits(spark)).groupBy("category").agg(F.sum((F.col("score") < 60).cast("long")).alias("poor"))
+    return grades.join(poor, "category", "left").select(*grades.columns, G.summary(F.col("score"), F.coalesce("poor", F.lit(0))).alias("summary"))
 
 
 def grade_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,17 +205,41 @@ def grade_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.overall(grade_threshold(spark, sf_dir))
+    """The overall grade, and whether it passes a gate at C."""
+    d = G.overall(G.grade_categories(_means(figures(spark, sf_dir)), [], _limits(spark)))
+    return d.withColumn("passes", G.passes(F.col("overall_grade"), "C"))
 
 
 def worst_offenders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.worst_offenders(figures(spark, sf_dir), _limits(spark), 3)
 
 
+def grade_metrics_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`grade_metrics` over the thresholds that SQL has figures for, as are the next four."""
+    d = G.scored(_means(relational(figures(spark, sf_dir))), [], _limits_relational(spark))
+    return d.select("category", "metric", "key", "value", "score")
+
+
+def grade_threshold_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.grade_categories(_means(relational(figures(spark, sf_dir))), [], _limits_relational(spark))
+
+
+def grade_files_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.grade_categories(relational(figures(spark, sf_dir)), ["path"], _limits_relational(spark))
+
+
+def overall_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.overall(grade_threshold_relational(spark, sf_dir)).withColumn("passes", G.passes(F.col("overall_grade"), "C"))
+
+
+def worst_offenders_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.worst_offenders(relational(figures(spark, sf_dir)), _limits_relational(spark), 3)
+
+
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Mean figures of the documents labelled good and bad."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    side = lambda q: A.flat(A.codebase(metrics.file_metrics(X.corpus(docs.where(F.col("quality") == q)), FIGURES))).where(F.col("key").startswith("mean_"))
+    side = lambda q: A.flat(A.codebase(relational(metrics.file_metrics(X.corpus(docs.where(F.col("quality") == q)))))).where(F.col("key").startswith("mean_"))
     return side(1), side(0)
 
 
@@ -217,7 +263,7 @@ def score_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def worst_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_file = figures(spark, sf_dir).select("path", F.col("metric").alias("grp"), F.concat(F.lit("mean_"), F.col("key")).alias("key"), "value")
+    by_file = relational(figures(spark, sf_dir)).select("path", F.col("metric").alias("grp"), F.concat(F.lit("mean_"), F.col("key")).alias("key"), "value")
     return S.worst_files(S.cosines(by_file, _learned(spark, sf_dir), ["path"]))
 
 
@@ -271,8 +317,9 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OWN = (
     lex_tokens, lex_token_counts, lex_words, lex_identifiers, lex_lines, lex_casing, lex_subwords, lex_kgrams, lang_detect, strip_comments,
-    glob_ignore, agg_codebase, agg_incremental, history, compare, correlate, m_combinations, power_law, grade_metrics, grade_threshold,
-    grade_files, overall, worst_offenders, learn_scalars, diagnose, score_aggregate, worst_files, dup_exact, dup_jaccard, contamination,
+    glob_ignore, agg_codebase, agg_deflated, agg_incremental, history, history_deflated, compare, correlate, m_combinations, power_law, grade_metrics, grade_threshold,
+    grade_files, overall, worst_offenders, grade_metrics_relational, grade_threshold_relational, grade_files_relational, overall_relational,
+    worst_offenders_relational, learn_scalars, diagnose, score_aggregate, worst_files, dup_exact, dup_jaccard, contamination,
     changed_files, blocks, block_proportions, ncd,
 )
 
@@ -289,7 +336,7 @@ round(min(value), 4) + 0.0 AS min, round(max(value), 4) + 0.0 AS max"""
 
 
 def _limits_sql() -> str:
-    rows = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{float(x)}::DOUBLE" for x in r) + ")" for r in G.CATEGORIES if r[1] in FIGURES)
+    rows = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{float(x)}::DOUBLE" for x in r) + ")" for r in G.CATEGORIES if r[2] not in DEFLATED)
     return f"lim(category, metric, key, good, a, b, c, d, weight) AS (VALUES {rows})"
 
 
@@ -317,7 +364,7 @@ def _flat(source: str, by: str = "") -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    pre, fm = f"WITH {Q.PRELUDE}", f"WITH {Q.long_form(FIGURES)}"
+    pre, fm = f"WITH {Q.PRELUDE}", f"WITH {Q.long_form()}"
     agg = f", cb AS (SELECT metric, key, {_AGG} FROM fm GROUP BY ALL)"
     means = f"{fm}{agg}, mv AS (SELECT metric, key, mean AS value FROM cb), {_limits_sql()}"
     impact = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in G.IMPACT.items()) + " ELSE 1 END"
@@ -341,18 +388,18 @@ def oracle_sql() -> dict[str, str]:
         "glob_ignore": f"{pre} SELECT path FROM f WHERE NOT ({globs})",
         "agg_codebase": f"{fm}{agg} SELECT * FROM cb",
         "history": f"{fm} SELECT snapshot, metric, key, {_AGG} FROM fm GROUP BY ALL",
-        "grade_metrics": f"{means} SELECT category, metric, key, value, {_SCORE} AS score FROM (SELECT mv.*, lim.* EXCLUDE (metric, key), CASE WHEN good = 'high' THEN -1 ELSE 1 END AS s FROM mv JOIN lim USING (metric, key))",
-        "grade_threshold": f"{means}, {_grades('', 'mv')} SELECT category, n_metrics, score, grade FROM gr",
-        "grade_files": f"{fm}, {_limits_sql()}, {_grades('path', '(SELECT path, metric, key, value FROM fm)')} SELECT path, category, n_metrics, score, grade FROM gr",
-        "overall": f"{means}, {_grades('', 'mv')} SELECT score AS overall_score, {_LETTER} AS overall_grade FROM (SELECT round(sum(score * {impact}) / sum({impact}))::BIGINT AS score FROM gr)",
-        "worst_offenders": f"{fm}, {_limits_sql()}, {_grades('path', '(SELECT path, metric, key, value FROM fm)')} SELECT * FROM (SELECT path, category, n_metrics, score, grade, row_number() OVER (PARTITION BY category ORDER BY score, path) AS rank FROM gr) WHERE rank <= 3",
+        "grade_metrics_relational": f"{means} SELECT category, metric, key, value, {_SCORE} AS score FROM (SELECT mv.*, lim.* EXCLUDE (metric, key), CASE WHEN good = 'high' THEN -1 ELSE 1 END AS s FROM mv JOIN lim USING (metric, key))",
+        "grade_threshold_relational": f"{means}, {_grades('', 'mv')} SELECT category, n_metrics, score, grade FROM gr",
+        "grade_files_relational": f"{fm}, {_limits_sql()}, {_grades('path', '(SELECT path, metric, key, value FROM fm)')} SELECT path, category, n_metrics, score, grade FROM gr",
+        "overall_relational": f"{means}, {_grades('', 'mv')} SELECT score AS overall_score, {_LETTER} AS overall_grade, score >= 55 AS passes FROM (SELECT round(sum(score * {impact}) / sum({impact}))::BIGINT AS score FROM gr)",
+        "worst_offenders_relational": f"{fm}, {_limits_sql()}, {_grades('path', '(SELECT path, metric, key, value FROM fm)')} SELECT * FROM (SELECT path, category, n_metrics, score, grade, row_number() OVER (PARTITION BY category ORDER BY score, path) AS rank FROM gr) WHERE rank <= 3",
         "dup_exact": f"{pre} SELECT path, min(path) OVER (PARTITION BY content) AS class, count(*) OVER (PARTITION BY content) AS copies FROM f",
         "dup_jaccard": f"{pre}, s AS (SELECT path, list_sort({grams.format(k=5)}) AS g FROM (SELECT path, {words('content')} AS w FROM f)), c AS (SELECT min(path) AS class, g FROM s WHERE len(g) > 0 GROUP BY g), e AS (SELECT class, len(g) AS n, unnest(g) AS g FROM c), p AS (SELECT a.class AS a, b.class AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM e a JOIN e b USING (g) WHERE a.class < b.class GROUP BY ALL) SELECT a, b, shared, round(shared / (na + nb - shared), 4) AS jaccard FROM p WHERE shared / (na + nb - shared) >= 0.2",
         "contamination": f"{pre}, p AS (SELECT item, len(g) AS n, unnest(g) AS g FROM (SELECT item_id AS item, {grams.format(k=8)} AS g FROM (SELECT item_id, {words('text')} AS w FROM benchmark))), s AS (SELECT path, unnest(g) AS g FROM (SELECT path, {grams.format(k=8)} AS g FROM (SELECT path, {words('content')} AS w FROM f))), j AS (SELECT item, path, n, count(*) AS shared FROM p JOIN s USING (g) GROUP BY ALL) SELECT item, path, shared, round(shared / n, 4) AS share FROM j WHERE shared >= 0.5 * n",
         "changed_files": "WITH d AS (SELECT doc_id, (doc_id // 2)::VARCHAR AS path, coalesce(text, '') AS content FROM documents), b AS (SELECT * FROM d WHERE doc_id % 2 = 0 AND doc_id % 5 <> 0), h AS (SELECT * FROM d WHERE doc_id % 2 = 1 AND doc_id % 7 <> 0) SELECT path, CASE WHEN b.doc_id IS NULL THEN 'added' WHEN h.doc_id IS NULL THEN 'deleted' ELSE 'modified' END AS status FROM b FULL JOIN h USING (path) WHERE b.content IS DISTINCT FROM h.content",
         "power_law": f"{pre}, p AS (SELECT x::DOUBLE AS x, y::DOUBLE AS y, ln(x) AS lx, ln(y) AS ly FROM (SELECT count(w.w) AS x, any_value(length(content)) AS y FROM f LEFT JOIN w USING (path) GROUP BY path) WHERE x > 0 AND y > 0) SELECT count(*) AS n, round((count(*) * sum(x * y) - sum(x) * sum(y)) / sqrt((count(*) * sum(x * x) - sum(x) ** 2) * (count(*) * sum(y * y) - sum(y) ** 2)), 4) AS correlation, round(regr_slope(ly, lx), 4) AS exponent, round(regr_r2(ly, lx), 4) AS r_squared FROM p",
     }
-    both = ", ".join(f"{n} AS (SELECT metric, key, {_AGG} FROM fm JOIN (SELECT concat(coalesce(source, '-'), '/', doc_id) AS path, lang FROM documents) USING (path) WHERE lang {op} 'en' GROUP BY ALL)" for n, op in (("b", "<>"), ("h", "=")))
+    both = ", ".join(f"{n} AS (SELECT metric, key, {_AGG} FROM fm JOIN (SELECT concat(coalesce(source, '-'), '/', doc_id) AS path, lang FROM documents) USING (path) WHERE lang {op} 'en' GROUP BY ALL)" for n, op in (("b", "IS DISTINCT FROM"), ("h", "=")))
     out["compare"] = f"{fm}, {both} SELECT b.metric AS grp, concat('mean_', b.key) AS key, b.mean AS base, h.mean AS head, round(h.mean - b.mean, 4) + 0.0 AS delta FROM b JOIN h USING (metric, key)"
     sides = ", ".join(f"{n} AS (SELECT metric AS grp, concat('mean_', key) AS key, mean AS v FROM (SELECT metric, key, {_AGG} FROM fm JOIN (SELECT concat(coalesce(source, '-'), '/', d.doc_id) AS path FROM documents d JOIN labels l USING (doc_id) WHERE quality = {q}) USING (path) GROUP BY ALL) WHERE mean > 0)" for n, q in (("g", 1), ("b", 0)))
     learned = f"{sides}, ld AS (SELECT grp, key, g.v AS good, b.v AS bad, ln(g.v) - ln(b.v) AS diff, g.v / b.v AS ratio FROM g JOIN b USING (grp, key)), le AS (SELECT grp, key, good, bad, round(ratio, 4) AS ratio, round(scalar, 4) + 0.0 AS scalar FROM (SELECT *, 2 * diff / max(abs(diff)) OVER () AS scalar FROM ld) WHERE ratio NOT BETWEEN 0.995 AND 1.005)"

@@ -50,8 +50,8 @@ def test_concentration(rows):
 
 def test_renyi(rows):
     r = rows("renyi_entropy", "eight")
-    assert (r["h0"], r["hill_1"], r["hill_2"]) == (3.0, 8.0, 8.0)
-    assert r["h0"] >= r["h1"] >= r["h2"] >= r["h_inf"]
+    assert (r["renyi_0"], r["hill_1"], r["hill_2"]) == (3.0, 8.0, 8.0)
+    assert r["renyi_0"] >= r["renyi_1"] >= r["renyi_2"] >= r["renyi_inf"]
 
 
 def test_bradford(rows):
