@@ -31,8 +31,8 @@ recursion for each token.
 
 Rows: null or empty text is the end token alone.  Rows with a null id are scored but
 not learned from.  Repeated rows are texts of their own.  Without training texts
-every token is unknown and has P = 1.  Words and contexts are told apart by 64-bit
-hashes.
+every token is unknown and has P = 1.  Words are told apart by 64-bit hashes, contexts
+by the numbers of their words (by a hash of them from 2**32 words on).
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ from .words import mix
 class Params:
     top: int = 5  #: largest count with a Good-Turing discount
     tail: float = 0.5
-    chunk_tokens: int = 1 << 21
+    chunk_tokens: int = 1 << 20
     part_entries: int = 1 << 19  #: entries that a partition of a count table is sent, about
 
 
@@ -110,7 +110,7 @@ _TOLD_DDL = "chunk long, part long, first binary, second binary, totals array<lo
 
 def _ask_words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _each(batch):
             words, counts = np.frombuffer(row["words"], np.uint64), unpack(row["counts"])
             part = (words >> np.uint64(48)).astype(np.int64) % parts
             for k, at in groups(part):
@@ -119,7 +119,7 @@ def _ask_words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Rec
 
 def _count_words(key: tuple, table: pa.Table, parts: int) -> pa.Table:
     """Numbers (small for frequent words) and training counts of the words asked
-    for; a row of chunk -1 with the partition's N and V."""
+    for; a row of chunk -1 with the partition's N, V and words."""
     asked = table.to_pylist()
     words = [np.frombuffer(r["keys"], np.uint64) for r in asked]
     found, where = np.unique(np.concatenate(words), return_inverse=True)
@@ -129,7 +129,7 @@ def _count_words(key: tuple, table: pa.Table, parts: int) -> pa.Table:
     number = rank * parts + key[0].as_py() + 1
     ends = np.cumsum([0] + [len(w) for w in words])
     rows = [(r["chunk"], r["part"], pack(number[where[a:b]]), pack(counts[where[a:b]]), None) for r, a, b in zip(asked, ends[:-1], ends[1:], strict=True)]
-    rows.append((-1, key[0].as_py(), None, None, [int(counts.sum()), int((counts > 0).sum())]))
+    rows.append((-1, key[0].as_py(), None, None, [int(counts.sum()), int((counts > 0).sum()), len(found)]))
     return pa.Table.from_batches([rows_of(rows, _TOLD)])
 
 
@@ -139,6 +139,12 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found.dictionary.to_numpy(), found.indices.to_numpy()
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one by one: each holds a chunk."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 @dataclass
 class _Grams:
     """The distinct n-grams of one order with a known context, of a chunk, in the order in
@@ -179,14 +185,14 @@ class _Chunk:
         before = np.empty_like(self.code)
         before[1:] = self.code[:-1]
         before[np.cumsum(self.sizes) - self.sizes] = len(self.number) - 1
-        return self._grams(before, self.count, mix(self.number.astype(np.uint64)), self.count[self.code], parts, limit)
+        return self._grams(before, self.count, self.number.astype(np.uint64), self.count[self.code], parts, limit)
 
-    def trigrams(self, two: _Grams, count: np.ndarray, parts: int, limit: int) -> _Grams:
-        """`count`: of the bigrams `two` over the corpus."""
+    def trigrams(self, two: _Grams, count: np.ndarray, parts: int, limit: int, above: int) -> _Grams:
+        """`count`: of the bigrams `two` over the corpus; word numbers are below `above`."""
         before = np.full(len(self.code), -1)
         before[1:] = two.of_token[:-1]
         before[np.cumsum(self.sizes) - self.sizes] = -1
-        ids = mix(two.ids * np.uint64(0x9E3779B97F4A7C15) + self.number[two.word].astype(np.uint64))
+        ids = two.ids * np.uint64(above if above < 1 << 32 else 0x9E3779B97F4A7C15) + self.number[two.word].astype(np.uint64)
         suffix = np.where(two.of_token >= 0, np.append(count, 0)[two.of_token], 0)
         return self._grams(before, count, ids, suffix, parts, limit)
 
@@ -202,7 +208,7 @@ class _Chunk:
         train = np.bincount(where[self.train[asked]], minlength=len(keys))
         pieces = np.where(count[context] > limit, count[context] // limit + 1, 1)
         piece = (mix(self.number[word].astype(np.uint64)) % pieces.astype(np.uint64)).astype(np.int64)
-        part = ((ids[context] >> np.uint64(32)).astype(np.int64) + piece) % parts
+        part = ((mix(ids) >> np.uint64(32)).astype(np.int64)[context] + piece) % parts
         order = np.lexsort((ids[context], part))
         place = np.empty(len(keys), np.int64)
         place[order] = np.arange(len(keys))
@@ -343,7 +349,7 @@ def _levels(row: dict, s: dict) -> tuple:
 
 def _ask_two(batches: Iterator[pa.RecordBatch], s: dict) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _each(batch):
             c, two, _ = _levels(row, s)
             yield from _ask(row["chunk"], two, c.number)
 
@@ -351,9 +357,9 @@ def _ask_two(batches: Iterator[pa.RecordBatch], s: dict) -> Iterator[pa.RecordBa
 def _ask_three(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     s = sent.value
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _each(batch):
             c, two, told = _levels(row, s)
-            yield from _ask(row["chunk"], c.trigrams(two, told.count, s["parts3"], s["limit"]), c.number)
+            yield from _ask(row["chunk"], c.trigrams(two, told.count, s["parts3"], s["limit"], s["above"]), c.number)
 
 
 def _discounted(g: _Grams, told: _Told, of_context: np.ndarray, d: np.ndarray, below: np.ndarray, alpha: np.ndarray, p: Params) -> np.ndarray:
@@ -369,9 +375,9 @@ def _discounted(g: _Grams, told: _Told, of_context: np.ndarray, d: np.ndarray, b
 def _score(batches: Iterator[pa.RecordBatch], sent, n: int, v_all: int, d2: np.ndarray, d3: np.ndarray, p: Params) -> Iterator[pa.RecordBatch]:
     s, total = sent.value, float(n + v_all + 1)
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _each(batch):
             c, two, told2 = _levels(row, s)
-            three = c.trigrams(two, told2.count, s["parts3"], s["limit"])
+            three = c.trigrams(two, told2.count, s["parts3"], s["limit"], s["above"])
             told3 = _Told.of(three, row["told3"], s["split3"], p.top)
             base = np.log10((c.count[:-1] + 1) / total)[c.code]
 
@@ -440,8 +446,9 @@ def score(docs: DataFrame, train, p: Params = Params()) -> DataFrame:
 
     asked = chunks.select("chunk", "words", "counts").mapInArrow(lambda b: _ask_words(b, parts), _ASK_DDL)
     words = common.stored(asked.groupBy("part").applyInArrow(lambda key, t: _count_words(key, t, parts), _TOLD_DDL), "unigrams")
-    n, v_all = (int(x) for x in _totals(words, 2))
-    s = {"parts": parts, "parts2": n_pairs // p.part_entries + 1, "starts": starts, "limit": max(p.part_entries, n >> 20), "top": top}
+    n, v_all, _ = (int(x) for x in _totals(words, 3))
+    most = words.where("chunk = -1").agg(F.max(F.element_at("totals", 3))).first()[0] or 0
+    s = {"parts": parts, "parts2": n_pairs // p.part_entries + 1, "starts": starts, "limit": max(p.part_entries, n >> 20), "top": top, "above": (most + 1) * parts + 1}
     s["parts3"] = 2 * s["parts2"]  # there are more trigrams
 
     counted = chunks.select("chunk", "ids", "train", "sizes", "codes", "slice").join(_by_chunk(words, "told"), "chunk")
