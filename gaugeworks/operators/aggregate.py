@@ -97,6 +97,11 @@ def correlations(series: DataFrame, all_groups: bool = False, least: float = 0.0
     return out.where(F.abs("correlation") < 1) if hide_exact else out
 
 
+def strongest(correlations_: DataFrame, n: int = 20) -> DataFrame:
+    """The n pairs with the largest absolute correlation; ties by name."""
+    return correlations_.orderBy(F.desc(F.abs("correlation")), "a", "b").limit(n)
+
+
 def power_law(points: DataFrame) -> DataFrame:
     """n, Pearson correlation, exponent and fit of y on x over rows (x, y) with both
     above 0; null under three rows."""

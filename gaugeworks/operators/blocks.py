@@ -8,12 +8,13 @@ colon-indented blocks inside it.  Blocks are rows; parents are row numbers.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import r4
@@ -22,28 +23,61 @@ from .pairs import bucket
 
 @dataclass(frozen=True)
 class Grammar:
-    """What cutting needs to know of a language; nothing, for unknown ones."""
+    """What cutting and signals need to know of a language; nothing, for unknown ones."""
 
     declarations: frozenset[str] = frozenset()
     ends: frozenset[str] = frozenset()
+    branches: frozenset[str] = frozenset()
+    access: frozenset[str] = frozenset()
+    functions: frozenset[str] = frozenset()
+    modules: frozenset[str] = frozenset()
+    imports: frozenset[str] = frozenset()
+    tests: frozenset[str] = frozenset()
+    statements: frozenset[str] = frozenset()
+    comments: frozenset[str] = frozenset()
     colon_indent: bool = False
 
+    @classmethod
+    def of(cls, **words: str | bool) -> Grammar:
+        """From words between blanks."""
+        return cls(**{k: v if isinstance(v, bool) else frozenset(v.split()) for k, v in words.items()})
 
-def _grammar(declarations: str = "", ends: str = "", colon_indent: bool = False) -> Grammar:
-    return Grammar(frozenset(declarations.split()), frozenset(ends.split()), colon_indent)
 
-
-#: Words that open a declaration and tokens that end a block.
+#: Of some languages, the words that declare, end blocks, branch, give
+#: access, and begin functions, modules, imports, tests and statements, and comment
+#: prefixes.  Further languages are a parameter (`read_grammars`).
 GRAMMARS = {
-    "python": _grammar("def class async", "", True),
-    "elixir": _grammar("def defp defmodule defmacro defmacrop defprotocol defimpl defstruct defguard defdelegate", "end"),
-    "ruby": _grammar("def class module", "end"),
-    "javascript": _grammar("function class async", "}"),
-    "java": _grammar("class interface", "}"),
-    "go": _grammar("func type var const", "}"),
-    "rust": _grammar("fn struct enum trait impl mod", "}"),
-    "lua": _grammar("function local", "end"),
-}
+    "python": Grammar.of(declarations="def class async", branches="elif else except finally", functions="def async", modules="class", imports="import from", comments="#", colon_indent=True),
+    "elixir": Grammar.of(
+        declarations="def defp defmodule defmacro defmacrop defprotocol defimpl defdelegate defoverridable defguard", ends="end", branches="else rescue catch ensure cond when case",
+        functions="def defp defmacro defmacrop defdelegate defguard", modules="defmodule defprotocol defimpl", imports="import require use alias", tests="test describe", comments="#",
+    ),
+    "ruby": Grammar.of(
+        declarations="def class module", ends="end", branches="else elsif rescue ensure when", functions="def", modules="class module", imports="require require_relative include",
+        tests="it describe context scenario feature given", comments="#",
+    ),
+    "javascript": Grammar.of(
+        declarations="function class async", ends="}", branches="else catch finally case default", access="export static", functions="function async", modules="class", imports="import",
+        tests="test it describe context scenario feature given", comments="//",
+    ),
+    "java": Grammar.of(
+        declarations="class interface", ends="}", branches="else catch finally case default", access="public private protected static abstract final synchronized",
+        modules="class interface enum", imports="import package", comments="//",
+    ),
+    "go": Grammar.of(declarations="func type struct interface", ends="}", branches="else case default", functions="func", imports="import package", comments="//"),
+    "rust": Grammar.of(
+        declarations="fn struct enum trait impl mod", ends="}", branches="else match", access="pub", functions="fn", modules="impl trait struct enum", imports="use extern", comments="//",
+    ),
+    "lua": Grammar.of(declarations="function local", ends="end", branches="else elseif", functions="function", imports="require", comments="--"),
+    "sql": Grammar.of(statements="select insert update delete create drop alter truncate begin commit rollback call execute", comments="--"),
+}
+
+
+def read_grammars(path: str) -> dict[str, Grammar]:
+    """More languages, from a JSON file on the driver: language -> field -> words."""
+    with open(path, encoding="utf-8") as f:
+        return GRAMMARS | {lang: Grammar.of(**words) for lang, words in json.load(f).items()}
+
 
 #: Operators of more than one character, the longest first.
 OPERATORS = "=== !== <=> ... == != <= >= |> <> <- -> => =~ !~ && || ?? ?. := :: .. -- ++ ** // += -= *= /= %=".split()
@@ -51,6 +85,8 @@ _TOKEN = re.compile(
     r"(?P<doc>\"\"\"|''')|(?P<str>\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<num>\d+(?:\.\d+)?)|(?P<id>[a-zA-Z_][a-zA-Z0-9_]*)"
     r"|(?P<op>" + "|".join(map(re.escape, OPERATORS)) + r")|(?P<blank>[\x00-\x20]+)|(?P<one>.)"
 )
+#: Expressions inside strings.
+_INSIDE = re.compile(r"#\{([^}]*)\}|\$\{([^}]*)\}|\\\(([^)]*)\)")
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
 _BLANK = ("<NL>", "<WS>")
 
@@ -61,6 +97,7 @@ class Token:
     content: str
     line: int
     col: int
+    interpolations: tuple[str, ...] = ()  #: expressions inside a string, which its content leaves out
 
 
 def lex(code: str) -> list[Token]:
@@ -78,7 +115,8 @@ def lex(code: str) -> list[Token]:
             if m.lastgroup == "blank":
                 continue
             kind = {"doc": "<DOC>", "str": "<STR>", "num": "<NUM>", "id": "<ID>"}.get(m.lastgroup, m.group())
-            out.append(Token(kind, m.group(), n, indent + m.start()))
+            inside = tuple(next(x for x in g if x is not None) for g in (i.groups() for i in _INSIDE.finditer(m.group()))) if m.lastgroup == "str" else ()
+            out.append(Token(kind, _INSIDE.sub("", m.group()) if inside else m.group(), n, indent + m.start(), inside))
             end = indent + m.end()
         if n < len(lines):
             out.append(Token("<NL>", "\n", n, end))
@@ -176,9 +214,9 @@ def _inner(tokens: list[Token], g: Grammar) -> Block:
     return Block(tokens, [_inner(p, g) for p in parts if _visible(p)])
 
 
-def parse(code: str, language: str = "unknown") -> list[Block]:
+def parse(code: str, language: str = "unknown", grammars: dict[str, Grammar] = GRAMMARS) -> list[Block]:
     """The top-level blocks of a text; slices that share a line are one."""
-    g, tokens = GRAMMARS.get(language, Grammar()), lex(code)
+    g, tokens = grammars.get(language, Grammar()), lex(code)
     cuts = [0, *_splits(tokens, g), len(tokens)]
     slices = [s for a, b in zip(cuts[:-1], cuts[1:], strict=True) if _visible(s := tokens[a:b])]
     merged: list[list[Token]] = []
@@ -221,34 +259,74 @@ def blocks(files: DataFrame, language: str = "unknown") -> DataFrame:
     return files.select("path", F.coalesce("content", F.lit("")).alias("content"), own.alias("language")).mapInArrow(run, _SCHEMA)
 
 
-def near_duplicates(blocks_: DataFrame, frequent: float = 1.0) -> DataFrame:
-    """a, b, distance, bucket of top-level blocks whose kinds are close.  Blocks with
-    equal kinds, children and lines are one class; classes are paired on shared pairs
-    of kinds, if they share half as many as the first one is long, and compared by
-    edit distance up to half the shorter length.  Pairs of kinds in more than a share
-    `frequent` of the classes pair nothing."""
+def classes(blocks_: DataFrame, by: list[str] = ()) -> DataFrame:
+    """by, id (the first label), copies, kinds, n, n_children, lines of the top-level blocks
+    with equal kinds, children and lines: one class each."""
     top = blocks_.where("parent = 0").withColumn("lines", F.size(F.filter("kinds", lambda k: k == "<NL>")) + 1)
-    label = F.concat_ws(":", "path", "start_line")
-    c = top.groupBy("kinds", "n_children", "lines").agg(F.min(label).alias("id"), F.count("*").alias("copies")).withColumn("n", F.size("kinds"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))), lambda i: F.array_join(F.slice("kinds", i, F.lit(2)), " "))
-    sides = c.select("id", F.explode(grams).alias("g"))
+    label = F.concat_ws(":", "path", F.lpad(F.col("start_line").cast("string"), 9, "0"))
+    c = top.groupBy(*by, "kinds", "n_children", "lines").agg(F.min(label).alias("id"), F.count("*").alias("copies"))
+    return c.withColumns({"n": F.size("kinds"), "spelled": F.array_join(F.transform("kinds", _letter), "")})
+
+
+#: Kinds of more than one character, each with a letter of its own.
+_LONG = {k: chr(0xE000 + i) for i, k in enumerate(["<ID>", "<NUM>", "<STR>", "<DOC>", "<NL>", "<WS>", *OPERATORS])}
+
+
+def _letter(kind: Column) -> Column:
+    """One character for each kind, so that the built-in distance counts kinds."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in _LONG.items() for x in kv)), kind), kind)
+
+
+def _compatible():
+    """Children within one, lines within 30 % of each other."""
+    return (F.abs(F.col("n_children_a") - F.col("n_children_b")) <= 1) & (F.abs(F.col("lines_a") - F.col("lines_b")) <= 0.3 * F.greatest("lines_a", "lines_b"))
+
+
+def near_duplicates(c: DataFrame, by: list[str] = (), frequent: float = 1.0) -> DataFrame:
+    """by, a, b, distance, bucket, pairs of the `classes` whose kinds are close; pairs is how
+    many pairs of blocks that are.
+
+    Equal kinds are bucket 0: a class with itself, and classes that differ in children or
+    lines but are compatible.  Others are paired on shared pairs of kinds, if they share
+    half as many as the first one is long, and compared by edit distance up to half the
+    shorter length; only lengths that allow it meet.  Pairs of kinds in more than a share
+    `frequent` of the classes pair nothing."""
+    keep = ["id", "copies", "kinds", "spelled", "n", "n_children", "lines"]
+    of = lambda s: c.select(*by, *(F.col(k).alias(f"{k}_{s}") for k in keep))
+    one = c.where("copies > 1").select(*by, F.col("id").alias("a"), F.col("id").alias("b"), (F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("pairs"))
+    same = of("a").withColumn("kinds", F.col("kinds_a")).join(of("b").withColumn("kinds", F.col("kinds_b")), [*by, "kinds"]).where("id_a < id_b").where(_compatible())
+    same = same.select(*by, F.col("id_a").alias("a"), F.col("id_b").alias("b"), (F.col("copies_a") * F.col("copies_b")).alias("pairs"))
+    zero = one.unionByName(same).select(*by, "a", "b", F.lit(0).cast("long").alias("distance"), F.lit(0).cast("long").alias("bucket"), "pairs")
+
+    grams = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.xxhash64(F.slice("kinds", i, F.lit(2))))
+    sides = c.where("n > 1").select(*by, "id", "n", F.explode(grams).alias("g"))
     if frequent < 1:
         most = max(2, round(c.count() * frequent))
         sides = sides.join(sides.groupBy("g").agg(F.countDistinct("id").alias("df")).where(F.col("df") > most), "g", "left_anti")
-    counts = sides.groupBy("g", "id").agg(F.count("*").alias("k"))
-    x, y = (counts.select("g", F.col("id").alias(s), F.col("k").alias(f"k_{s}")) for s in "ab")
-    shared = x.join(y, "g").where("a < b").groupBy("a", "b").agg(F.sum(F.col("k_a") * F.col("k_b")).alias("shared"))
-    of = lambda s: c.select(F.col("id").alias(s), *(F.col(k).alias(f"{k}_{s}") for k in ("kinds", "n", "n_children", "lines")))
-    d = shared.join(of("a"), "a").join(of("b"), "b")
-    d = d.where(F.col("shared") >= F.greatest(F.lit(0), F.round(F.col("n_a") * 0.5) - 1))
-    d = d.where((F.abs(F.col("n_children_a") - F.col("n_children_b")) <= 1) & (F.abs(F.col("lines_a") - F.col("lines_b")) <= 0.3 * F.greatest("lines_a", "lines_b")))
-    # each kind of the pair becomes one letter, so that the built-in distance counts kinds
-    alphabet = F.array_distinct(F.concat("kinds_a", "kinds_b"))
-    d = d.withColumn("_k", alphabet)
-    spell = lambda k: F.array_join(F.transform(k, lambda x: F.char(F.array_position("_k", x) + 32)), "")
+    counts = sides.groupBy(*by, "g", "id", "n").agg(F.count("*").alias("k")).withColumn("band", F.floor(F.ln("n") / F.ln(F.lit(1.5))))
+    x, y = (counts.select(*by, "g", "band", F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("k").alias(f"k_{s}")) for s in "ab")
+    x = x.withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    shared = x.join(y, [*by, "g", "band"]).where("a < b").where(F.abs(F.col("n_a") - F.col("n_b")) <= F.round(F.least("n_a", "n_b") * 0.5))
+    shared = shared.groupBy(*by, "a", "b", "n_a").agg(F.sum(F.col("k_a") * F.col("k_b")).alias("shared"))
+    shared = shared.where(F.col("shared") >= F.greatest(F.lit(0), F.round(F.col("n_a") * 0.5) - 1)).select(*by, F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    d = shared.join(of("a"), [*by, "id_a"]).join(of("b"), [*by, "id_b"]).where(F.col("kinds_a") != F.col("kinds_b")).where(_compatible())
     least = F.least("n_a", "n_b")
-    d = d.withColumn("distance", F.levenshtein(spell("kinds_a"), spell("kinds_b")).cast("long")).withColumn("bucket", bucket(F.col("distance"), least))
-    return d.where(F.col("bucket").isNotNull()).select("a", "b", "distance", "bucket")
+    # the distance is left off beyond the bound (-1)
+    d = d.withColumn("distance", F.expr("levenshtein(spelled_a, spelled_b, cast(round(least(n_a, n_b) * 0.5) as int))").cast("long")).where("distance >= 0")
+    d = d.withColumn("bucket", bucket(F.col("distance"), least)).where(F.col("bucket").isNotNull())
+    return zero.unionByName(d.select(*by, F.col("id_a").alias("a"), F.col("id_b").alias("b"), "distance", "bucket", (F.col("copies_a") * F.col("copies_b")).alias("pairs")))
+
+
+def bucket_counts(pairs: DataFrame) -> DataFrame:
+    """bucket, pairs: how many pairs of blocks are in each bucket."""
+    return pairs.groupBy("bucket").agg(F.sum("pairs").alias("pairs"))
+
+
+def duplicates_in_files(blocks_: DataFrame) -> DataFrame:
+    """path, block_count, sub_block_count and near_dup_block_d0 .. d8: pairs inside a file."""
+    found = near_duplicates(classes(blocks_, ["path"]), ["path"])
+    counts = found.groupBy("path").agg(*(F.sum(F.when(F.col("bucket") == k, F.col("pairs"))).alias(f"near_dup_block_d{k}") for k in range(9)))
+    return block_counts(blocks_).join(counts, "path", "left").fillna(0)
 
 
 def block_counts(blocks_: DataFrame) -> DataFrame:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,20 +38,33 @@ def nearest(scored: DataFrame, n: int | None = None) -> DataFrame:
     return both if n is None else both.where(F.col("rank") <= n)
 
 
-def cross_file_density(files: DataFrame) -> float:
-    """Deflated sizes of the files over that of all of them, joined by line feeds in
-    order of their paths; 0 under two files.  Deflate is a sequence, so one task
-    streams through the files; it holds one of them at a time."""
+def cross_file_density(files: DataFrame, chunk: int = 1 << 24) -> DataFrame:
+    """density: deflated sizes of the files over that of all of them, joined by line feeds
+    in order of their paths; 0 under two files.
+
+    Deflate refers back 32 KB at most, so the joined text can be packed in stretches: it is
+    cut, by running sizes, to chunks of about `chunk` bytes, and each is packed after its
+    predecessor's last 32 KB, as a stream would be."""
+    sized = files.select("path", F.encode("content", "UTF-8").alias("body")).withColumn("size", F.octet_length("body").cast("long") + 1)
+    # running sizes over range partitions: the totals of those before are one row each
+    ranged = sized.select("path", "size").repartitionByRange("path").withColumn("part", F.spark_partition_id())
+    own = F.sum("size").over(W.partitionBy("part").orderBy("path"))
+    totals = ranged.groupBy("part").agg(F.sum("size").alias("total"))
+    before = totals.select("part", F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    start = ranged.withColumn("run", own).join(before, "part").select("path", (F.col("before") + F.col("run") - F.col("size")).alias("at"))
+    placed = sized.join(start, "path").withColumn("chunk", F.floor(F.col("at") / chunk))
+    # what the next chunk may refer back to
+    tail = placed.select(F.explode(F.when(F.floor((F.col("at") + F.col("size") + (1 << 15)) / chunk) > F.col("chunk"), F.sequence(F.col("chunk"), F.floor((F.col("at") + F.col("size") + (1 << 15)) / chunk))).otherwise(F.array("chunk"))).alias("chunk"), "at", "size", "body")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer, n, single, joined = zlib.compressobj(), 0, 0, 0
-        for part in parts:
-            for text in part["content"]:
-                data = text.encode()
-                single += len(zlib.compress(data))
-                joined += len(packer.compress(b"\n" * (n > 0) + data))
-                n += 1
-        yield pd.DataFrame({"n": [n], "single": [single], "joined": [joined + len(packer.flush())]})
+    def pack(key, table):
+        rows = sorted(zip(table["at"].to_pylist(), table["body"].to_pylist(), strict=True))
+        mine = [(at, b) for at, b in rows if at // chunk == key[0].as_py()]
+        seen = b"".join(b + b"\n" for at, b in rows if at // chunk < key[0].as_py())[-(1 << 15) :]
+        packer = zlib.compressobj(zdict=seen) if seen else zlib.compressobj()
+        packed = sum(len(packer.compress(b + b"\n")) for _, b in mine) + len(packer.flush(zlib.Z_SYNC_FLUSH))
+        single = sum(len(zlib.compress(b)) for _, b in mine)
+        return pa.table({"n": [len(mine)], "single": [single], "joined": [packed]})
 
-    one = files.select("path", "content").orderBy("path").coalesce(1).mapInPandas(run, "n long, single long, joined long").first()
-    return round(one["single"] / max(1, one["joined"]), 4) if one and one["n"] > 1 else 0.0
+    parts = tail.groupBy("chunk").applyInArrow(pack, "n long, single long, joined long")
+    total = parts.agg(F.sum("n").alias("n"), F.sum("single").alias("single"), F.sum("joined").alias("joined"))
+    return total.select(F.when(F.col("n") > 1, r4(F.col("single") / F.greatest("joined", F.lit(1)))).otherwise(0.0).alias("density"))

@@ -478,3 +478,11 @@ def file_metrics(files: DataFrame, names: list[str] | None = None, keywords: tup
                 pairs.append(F.struct(F.lit(name).alias("metric"), F.lit(f.name).alias("key"), value.alias("value")))
     passed = [c for c in ("snapshot", "language") if c in files.columns]
     return wide.select("path", *passed, F.inline(F.array(*pairs))).where("value IS NOT NULL")
+
+
+def memoized(files: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """`file_metrics` computed once for each distinct content, and joined back to the paths."""
+    keyed = files.withColumn("_digest", F.sha2(F.col("content").cast("binary"), 256))
+    once = keyed.groupBy("_digest").agg(F.first("content").alias("content")).select(F.col("_digest").alias("path"), "content")
+    figures = file_metrics(once, names).withColumnRenamed("path", "_digest")
+    return keyed.select("path", "_digest").join(figures, "_digest").drop("_digest")

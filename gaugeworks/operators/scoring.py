@@ -15,6 +15,7 @@ from ..functions.stats import r4
 
 #: Logarithm of a zero: the least number that still has one here.
 TINY = 1e-300
+TINY_LOG = -690.7755
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

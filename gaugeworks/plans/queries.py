@@ -12,10 +12,13 @@ from ..functions import vocab
 from ..operators import aggregate as A
 from ..operators import blocks as B
 from ..operators import compress as C
+from ..operators import behaviors as V
 from ..operators import grading as G
+from ..operators import impact as I
 from ..operators import metrics
 from ..operators import pairs as P
 from ..operators import scoring as S
+from ..operators import signals as N
 from . import metric_sql as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -306,6 +309,105 @@ def ncd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.nearest(C.distances(pairs, files(spark, sf_dir)))
 
 
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split signals of the pages, read as javascript."""
+    return N.signals(_pages(spark, sf_dir), "javascript")
+
+
+def node_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of the pages and what they are voted to be, read as javascript."""
+    return N.nodes(_pages(spark, sf_dir), "javascript").withColumn("bound", F.array_join("bound", " "))
+
+
+def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.compounds(N.nodes(_pages(spark, sf_dir), "javascript"))
+
+
+def near_dup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs of the pages' top-level blocks are near duplicates, by bucket."""
+    return B.bucket_counts(B.near_duplicates(B.classes(B.blocks(_pages(spark, sf_dir)))))
+
+
+def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten pairs of classes of near-duplicate blocks of each bucket."""
+    return P.top_pairs(B.near_duplicates(B.classes(B.blocks(_pages(spark, sf_dir)))), 10)
+
+
+def near_dup_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.duplicates_in_files(B.blocks(_pages(spark, sf_dir)))
+
+
+def cross_file_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.cross_file_density(files(spark, sf_dir))
+
+
+def _about(spark: SparkSession, weights: DataFrame) -> DataFrame:
+    none = F.array().cast("array<string>")
+    d = weights.select("category", "behavior").distinct()
+    return d.select("category", "behavior", none.alias("languages"), none.alias("excludes_languages"), none.alias("excludes_kinds"), F.lit(0.0).alias("log_baseline"), F.lit("Look at this {{type}} of {{line_count}} lines.").alias("hint"), F.lit(None).cast("string").alias("doc"))
+
+
+def cosine_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of the learned behaviours, each group of figures as a category."""
+    cosines = diagnose(spark, sf_dir).withColumn("category", F.substring("behavior", 1, 4))
+    return V.grade_cosines(cosines)
+
+
+def combined_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.combined(cosine_grades(spark, sf_dir))
+
+
+def top_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two figures of each learned behaviour that pull its cosine down most."""
+    return S.top_metrics(A.flat(agg_codebase(spark, sf_dir)), _learned(spark, sf_dir), 2)
+
+
+def learned_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.baseline(learn_scalars(spark, sf_dir))
+
+
+def top_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.strongest(correlate(spark, sf_dir), 20)
+
+
+#: Behaviours of the block queries: category, behaviour, metric, key, scalar.
+PLAIN = [
+    ("size", "short", "halstead", "mean_length", -1.0), ("size", "short", "entropy", "mean_total_tokens", -1.0),
+    ("text", "plain", "symbol_density", "mean_density", -0.5), ("text", "plain", "separator_counts", "mean_hyphen_count", 0.5),
+]
+
+
+def _impact(spark: SparkSession, sf_dir: str):
+    pages = _pages(spark, sf_dir).withColumn("content", F.coalesce("content", F.lit("")))
+    weights = spark.createDataFrame(PLAIN, "category string, behavior string, grp string, key string, scalar double")
+    nodes = I.blocks(pages)
+    figures_ = metrics.file_metrics(pages, sorted({r[2] for r in PLAIN})).cache()  # read five times
+    return pages, weights, nodes, figures_, I.potentials(pages, nodes, weights, _about(spark, weights), figures_)
+
+
+def block_potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removing each block of the pages would do for two behaviours."""
+    return _impact(spark, sf_dir)[-1]
+
+
+def top_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten blocks of the pages that stand out most (of 1 to 200 lines)."""
+    pages, weights, nodes, figures_, found = _impact(spark, sf_dir)
+    corpus = S.cosines(A.flat(A.codebase(figures_)), weights)
+    return I.top_blocks(I.flagged(nodes, found, corpus, _about(spark, weights), lines=(1, 200)), pages)
+
+
+def diff_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed ranges of made-up diffs: each document is a file whose first lines, as many
+    as its id modulo 4, were put at line id modulo 9."""
+    from ..sources.snapshots import diff_ranges as ranges
+
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("diff"))
+    hunk = F.concat(F.lit("@@ -1,2 +"), (F.col("diff") % 9).cast("string"), F.lit(","), (F.col("diff") % 4).cast("string"), F.lit(" @@"))
+    lines = F.array(F.struct(F.lit(0).alias("no"), F.concat(F.lit("+++ b/f"), F.col("diff").cast("string")).alias("line")), F.struct(F.lit(1).alias("no"), hunk.alias("line")))
+    return ranges(d.select("diff", F.inline(lines)))
+
+
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of even and of odd ids as two snapshots of files n // 2: status."""
     from ..sources.snapshots import changed
@@ -320,7 +422,8 @@ _OWN = (
     glob_ignore, agg_codebase, agg_deflated, agg_incremental, history, history_deflated, compare, correlate, m_combinations, power_law, grade_metrics, grade_threshold,
     grade_files, overall, worst_offenders, grade_metrics_relational, grade_threshold_relational, grade_files_relational, overall_relational,
     worst_offenders_relational, learn_scalars, diagnose, score_aggregate, worst_files, dup_exact, dup_jaccard, contamination,
-    changed_files, blocks, block_proportions, ncd,
+    changed_files, blocks, block_proportions, ncd, signals, node_kinds, compounds, near_dup_blocks, near_dup_pairs, near_dup_files,
+    cross_file_density, cosine_grades, combined_grade, top_metrics, learned_baseline, top_correlations, block_potentials, top_blocks, diff_ranges,
 )
 
 
@@ -429,4 +532,13 @@ def oracle_sql() -> dict[str, str]:
     p AS (SELECT a.name AS a, b.name AS b, count(*)::DOUBLE AS n, sum(a.v) AS sx, sum(b.v) AS sy, sum(a.v * b.v) AS sxy, sum(a.v * a.v) AS sxx, sum(b.v * b.v) AS syy FROM vary a JOIN vary b USING (snapshot)
       WHERE a.name < b.name AND NOT list_has_any(string_split_regex(regexp_extract(a.name, '^([^.]*)', 1), '[_,]'), string_split_regex(regexp_extract(b.name, '^([^.]*)', 1), '[_,]')) GROUP BY ALL)
     SELECT * FROM (SELECT a, b, round(coalesce((n * sxy - sx * sy) / nullif(sqrt(greatest((n * sxx - sx * sx) * (n * syy - sy * sy), 0)), 0), 0), 4) + 0.0 AS correlation FROM p) WHERE abs(correlation) BETWEEN 0.5 AND 1"""
+    order_by = "SELECT a, b, correlation FROM ({}) ORDER BY abs(correlation) DESC, a, b LIMIT 20"
+    out["top_correlations"] = order_by.format(out["correlate"])
+    out["cosine_grades"] = f"SELECT *, {_LETTER} AS grade FROM (SELECT substr(behavior, 1, 4) AS category, count(*) FILTER (abs(cosine) >= 0.15) AS n_behaviors, coalesce(round(avg(score) FILTER (abs(cosine) >= 0.15)), 50)::BIGINT AS score FROM ({out['diagnose']}) GROUP BY ALL)"
+    letters = "CASE " + " ".join(f"WHEN score >= {n} THEN '{x}'" for n, x in V.COMBINED) + " ELSE 'F' END"
+    out["combined_grade"] = f"SELECT score, {letters} AS grade FROM (SELECT round(avg(score))::BIGINT AS score FROM ({out['cosine_grades']}))"
+    out["learned_baseline"] = f"{fm}, {learned} SELECT round(sum(scalar * ln(sqrt(good * bad))), 4) + 0.0 AS log_baseline FROM le"
+    out["top_metrics"] = f"""{fm}{agg}, {flat}, {learned}, tm AS (SELECT 'quality' AS category, grp AS behavior, grp, key, round(scalar * coalesce({log}, 0), 4) + 0.0 AS contribution FROM le LEFT JOIN fl USING (grp, key))
+    SELECT * FROM (SELECT category, behavior, row_number() OVER (PARTITION BY behavior ORDER BY contribution, grp, key) AS rank, grp, key, contribution FROM tm) WHERE rank <= 2"""
+    out["diff_ranges"] = "SELECT concat('f', doc_id) AS path, doc_id % 9 AS first, doc_id % 9 + doc_id % 4 - 1 AS last FROM documents WHERE doc_id % 4 > 0"
     return out

@@ -10,6 +10,10 @@ from ..functions import vocab
 from ..operators import metrics
 
 
+#: Globs that a scan leaves out.
+IGNORED = ("**/*.md", "**/*.mdx")
+
+
 def extension(path: Column) -> Column:
     """Lower-case extension, or the whole name where there is none."""
     base = F.regexp_extract(path, r"([^/]*)$", 1)
@@ -27,7 +31,7 @@ def scanned(path: Column, ignore: list[str] = (), extensions: list[str] | None =
     return extension(path).isin(*dict.fromkeys(known)) & ~hidden & ~X.ignored(path, list(ignore))
 
 
-def scan(spark: SparkSession, root: str, ignore: list[str] = ("**/*.md", "**/*.mdx"), extensions: list[str] | None = None) -> DataFrame:
+def scan(spark: SparkSession, root: str, ignore: list[str] = IGNORED, extensions: list[str] | None = None) -> DataFrame:
     """path (below root), content, language of the files below a folder.  Paths are
     filtered before contents are decoded; bytes that aren't UTF-8 become marks."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -36,6 +40,19 @@ def scan(spark: SparkSession, root: str, ignore: list[str] = ("**/*.md", "**/*.m
     return d.select("path", F.decode("content", "UTF-8").alias("content"), X.language(F.col("path")).alias("language"))
 
 
+def write_analysis(files: DataFrame, figures: DataFrame, aggregate: DataFrame, path: str, with_files: bool = False) -> None:
+    """Folders below `path`: metadata (files, bytes, time, version), codebase, and, if asked
+    for, one object for each file with its figures by metric."""
+    meta = files.agg(F.count("*").alias("total_files"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("total_bytes"))
+    meta.withColumns({"timestamp": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"), "version": F.lit("1")}).write.mode("overwrite").json(f"{path}/metadata")
+    write_report(aggregate, f"{path}/codebase")
+    if with_files:
+        rows = figures.groupBy("path", "metric").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("figures"))
+        rows = rows.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("metric", "figures"))).alias("metrics"))
+        sizes = files.select("path", F.octet_length("content").alias("bytes"), F.size(X.lines(F.col("content"))).alias("lines"))
+        rows.join(sizes, "path").write.mode("overwrite").json(f"{path}/files")
+
+
 def write_report(aggregate: DataFrame, path: str) -> None:
     """One JSON object for each metric: key -> mean, std, min, max."""
     figures = F.struct("mean", "std", "min", "max")
