@@ -1,7 +1,7 @@
 """License scans by canonical digest lookup.
 
 A text is canonicalised line by line: lower case, lines that only state a copyright
-dropped, equivalent spellings made one, everything but letters and digits turned to
+(its sign or word, a year, and up to eleven words more, none of them licence) dropped, equivalent spellings made one, everything but letters and digits turned to
 single blanks, empty lines dropped, lines joined by a blank.  The digest is the
 SHA-256 of what is left.  Whole texts are hash-joined to the digests of the known
 licences, canonicalised by the same expression; so is every whole line, which finds
@@ -95,7 +95,8 @@ def full_texts() -> dict[str, str]:
     return out | {f"{n}-terms": t[: t.index(_END) + len(_END)] for n, t in out.items() if _END in t}
 
 
-_COPYRIGHT = r"^\s*\W*(copyright\b|\(c\)|©)[^a-z]*(\(c\)|©|[0-9]{4})"
+_COPYRIGHT = r"^\s*\W*(copyright\b|\(c\)|©)[^a-z]*(\(c\)|©|[0-9]{4})(\W+[A-Za-z0-9_]+){0,11}\W*$"
+_LICENSED = "licen[cs]"
 
 
 def canonical_lines(text: Column) -> Column:
@@ -105,7 +106,7 @@ def canonical_lines(text: Column) -> Column:
         x = F.lower(x)
         for a, b in SPELLINGS:
             x = F.replace(x, F.lit(a), F.lit(b))
-        return F.trim(F.regexp_replace(F.when(~x.rlike(_COPYRIGHT), x), r"[^\p{L}\p{N}]+", " "))
+        return F.trim(F.regexp_replace(F.when(~x.rlike(_COPYRIGHT) | x.rlike(_LICENSED), x), r"[^\p{L}\p{N}]+", " "))
 
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line), lambda x: F.coalesce(x != "", F.lit(False)))
 
@@ -115,28 +116,30 @@ def _sha(x: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: Mapping[str, str]) -> DataFrame:
-    """digest and license_id of each known canonical text."""
+    """digest, license_id and length of each known canonical text."""
     if len(known) > KNOWN_MOST:
         raise ValueError(f"at most {KNOWN_MOST} known texts")
-    rows = spark.createDataFrame(sorted(known.items()), "name string, body string")
-    return rows.groupBy(_sha(F.array_join(canonical_lines(F.col("body")), " ")).alias("digest")).agg(F.min("name").alias("license_id"))
+    rows = spark.createDataFrame(sorted(known.items()), "name string, body string").withColumn("body", F.array_join(canonical_lines(F.col("body")), " "))
+    return rows.groupBy(_sha(F.col("body")).alias("digest")).agg(F.min("name").alias("license_id"), F.max(F.char_length("body")).alias("size"))
 
 
 def scan(docs: DataFrame, known: Mapping[str, str] = KNOWN) -> DataFrame:
     """doc_id, digest, license_id (of the whole text), n_lines (canonical lines),
     notices (known texts that are whole lines, as often as they occur, in order)."""
     digests = known_digests(docs.sparkSession, known)
-    by_digest = F.create_map(*(F.lit(x) for r in digests.orderBy("digest").collect() for x in r))
+    found = digests.orderBy("digest").collect()
+    by_digest = F.create_map(*(F.lit(x) for r in found for x in r[:2])) if found else F.create_map().cast("map<string, string>")
     lines = docs.select("doc_id", canonical_lines(F.col("text").cast("string")).alias("lines"))
-    longest = max((len(x) for x in known.values()), default=0) * 2
-    found = F.transform("lines", lambda x: F.when(F.length(x) <= longest, F.element_at(by_digest, _sha(x))))
+    # a longer line than any known text has another canonical form
+    longest = max((r["size"] for r in found), default=0)
+    found = F.transform("lines", lambda x: F.when(F.char_length(x) <= longest, F.element_at(by_digest, _sha(x))))
     whole = lines.select(
         "doc_id",
         _sha(F.array_join("lines", " ")).alias("digest"),
         F.size("lines").cast("long").alias("n_lines"),
         F.filter(found, lambda x: x.isNotNull()).alias("notices"),
     )
-    return whole.join(F.broadcast(digests), "digest", "left").select("doc_id", "digest", "license_id", "n_lines", "notices")
+    return whole.join(F.broadcast(digests.drop("size")), "digest", "left").select("doc_id", "digest", "license_id", "n_lines", "notices")
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -149,14 +152,13 @@ def _sql_line(x: str) -> str:
     out = f"lower({x})"
     for a, b in SPELLINGS:
         out = f"replace({out}, '{a}', '{b}')"
-    return f"trim(regexp_replace(CASE WHEN NOT regexp_matches({out}, '{_COPYRIGHT}') THEN {out} END, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    return f"trim(regexp_replace(CASE WHEN NOT regexp_matches({out}, '{_COPYRIGHT}') OR regexp_matches({out}, '{_LICENSED}') THEN {out} END, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
 def sql() -> str:
     """The query in DuckDB's SQL, over `KNOWN`: without the full texts of `TEXTS`."""
     lines = "list_filter([{} FOR x IN string_split(coalesce({}, ''), chr(10))], lambda y: coalesce(y <> '', false))"
     body = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in sorted(KNOWN.items()))
-    longest = max(len(x) for x in KNOWN.values()) * 2
     return f"""
 WITH known AS (
   SELECT sha256(array_to_string({lines.format(_sql_line("x"), "body")}, ' ')) AS digest, min(name) AS license_id
@@ -165,5 +167,5 @@ names AS (SELECT map(list(digest), list(license_id)) AS m FROM known),
 d AS (SELECT doc_id, {lines.format(_sql_line("x"), "text")} AS lines FROM documents),
 w AS (SELECT doc_id, lines, sha256(array_to_string(lines, ' ')) AS digest FROM d)
 SELECT w.doc_id, w.digest, known.license_id, CAST(len(w.lines) AS BIGINT) AS n_lines,
-  array_to_string(list_filter([CASE WHEN length(x) <= {longest} THEN m[sha256(x)] END FOR x IN w.lines], lambda y: y IS NOT NULL), ' ') AS notices
+  array_to_string(list_filter([m[sha256(x)] FOR x IN w.lines], lambda y: y IS NOT NULL), ' ') AS notices
 FROM w CROSS JOIN names LEFT JOIN known ON known.digest = w.digest"""
