@@ -26,6 +26,7 @@ import hashlib
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,14 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .packing import groups, pack, rows_of, unpack
+from .packing import groups, pack, pack_codes, rows_of, unpack, unpack_codes
 
 
 @dataclass(frozen=True)
 class Params:
     tokenizer: str = ""  #: path of the tokenizer's JSON file, read on the driver
-    chunk_words: int = 1 << 21  #: words of a chunk, about
-    part_words: int = 1 << 19  #: words that a partition of the table is asked for, about
+    chunk_words: int = 1 << 19  #: words of a chunk, about; larger ones need less disk and more memory
+    part_words: int = 1 << 17  #: words that a partition of the table is asked for, about
 
 
 #: Below this code point Python's NFC, lower-casing and letter classes are those of the library.
@@ -109,12 +110,12 @@ class Words:
         is_plain = [w[0] != "\0" or w[1:] not in self.special for w in words]
         plain, step = [w for w, ok in zip(words, is_plain, strict=True) if ok], 4096  # the library's results are large
         coded = (e.ids for k in range(0, len(plain), step) for e in self.tok.encode_batch(plain[k : k + step], add_special_tokens=False))
-        ids, size = [], np.zeros(len(words), np.int64)
+        ids, size = array("q"), np.zeros(len(words), np.int64)
         for k, w in enumerate(words):
             got = next(coded) if is_plain[k] else [self.special[w[1:]]]
-            ids += got
+            ids.extend(got)
             size[k] = len(got)
-        return np.array(ids, np.int64), size
+        return np.frombuffer(ids, np.int64) if len(ids) else np.zeros(0, np.int64), size
 
     def pieces(self) -> dict[int, str]:
         """The id-to-piece table."""
@@ -155,7 +156,7 @@ _TOLD_DDL = "chunk long, part long, numbers binary, ids binary"
 def _packed(words: list[str]) -> bytes:
     raw = [w.encode() for w in words]
     sizes = pack(np.array([len(w) for w in raw], np.uint64))
-    return len(sizes).to_bytes(8, "big") + sizes + zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
+    return len(sizes).to_bytes(8, "big") + sizes + zstandard.ZstdCompressor(level=6).compress(b"".join(raw))
 
 
 def _unpacked(blob: bytes) -> list[str]:
@@ -184,13 +185,13 @@ def _split(batches: Iterator[pa.RecordBatch], spec, rest: list[str], p: Params)
         own = pa.Table.from_batches(held).combine_chunks().to_batches()
         own = pa.StructArray.from_arrays(own[0].columns, names=rest) if rest else pa.nulls(len(texts))
         own = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), own)
-        row = rows_of([(at, pack(np.array([len(t) for t in texts])), pack(place[codes]), pack(part), _packed(found), len(found))], _CHUNK)
+        row = rows_of([(at, pack(np.array([len(t) for t in texts])), pack_codes(place[codes]), pack(part), _packed(found), len(found))], _CHUNK)
         return pa.RecordBatch.from_arrays([*row.columns, own], names=[*row.schema.names, "rest"])
 
     for batch in common.slices(batches, "text"):
         for text in batch.column("text"):
             found = words.words(text.as_py() or "")
-            texts.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
+            texts.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
             total += len(found)
         held.append(batch.select(rest))
         if total >= p.chunk_words:
@@ -241,7 +242,7 @@ def _join(batches: Iterator[pa.RecordBatch], sent, parts: int, names: list[str],
                     own = found[end : end + size]
                     end += size
                     number[i], ids[i], decoded[i] = size, " ".join(map(str, own)), " ".join([piece[x] for x in own])
-            codes, sizes = unpack(row["codes"]).astype(np.int64), unpack(row["sizes"]).astype(np.int64)
+            codes, sizes = unpack_codes(row["codes"]), unpack(row["sizes"]).astype(np.int64)
             number = np.array(number, np.int64)
             silent = len(number) and number.min() == 0  # words without ids, such as an empty piece
             ends, totals, shas, texts = np.cumsum(sizes).tolist(), [], [], []
@@ -280,18 +281,19 @@ def encode(docs: DataFrame, p: Params, with_ids: bool = False) -> DataFrame:
     chunks = common.stored(docs.mapInArrow(lambda b: _split(b, sent, own, p), chunk), "chunks")
     parts = min(1 << 16, (chunks.agg(F.sum("n_words")).first()[0] or 0) // p.part_words + 1)
     asked = chunks.select("chunk", "slice", "words").mapInArrow(lambda b: _ask(b, parts), _ASK_DDL)
-    told = asked.groupBy("part").applyInArrow(lambda t: _encode(t, sent), _TOLD_DDL)
+    told = common.stored(asked.groupBy("part").applyInArrow(lambda t: _encode(t, sent), _TOLD_DDL), "ids")
+    common.release(docs.sparkSession)
     told = told.groupBy("chunk").agg(F.collect_list(F.struct("part", "numbers", "ids")).alias("told"))
     full = chunks.drop("words", "n_words").join(told, "chunk", "left")
     return full.mapInArrow(lambda b: _join(b, pieces, parts, schema.names, with_ids), schema)
 
 
-def production() -> Params:
+def production(**changes) -> Params:
     import public_tokenizers
 
-    return Params(tokenizer=str(public_tokenizers.path("word_bpe_49k.json")))
+    return Params(tokenizer=str(public_tokenizers.path("word_bpe_49k.json")), **changes)
 
 
 def op7_bpe_encode_decode(spark, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every text of `documents`, as digests."""
-    return encode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), production())
+    return encode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), production(chunk_words=1 << 22))

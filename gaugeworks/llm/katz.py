@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, words
-from .packing import groups, pack, rows_of, unpack
+from .packing import groups, pack, pack_codes, rows_of, unpack, unpack_codes
 from .words import mix
 
 
@@ -85,7 +85,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Recor
         sizes = np.array([len(t) for t in texts])
         counts = np.bincount(code[np.repeat(np.array(train), sizes)], minlength=len(found))
         pairs = len(np.unique(code[:-1] * len(found) + code[1:])) + len(texts)
-        row = (at, ids, np.packbits(train).tobytes(), pack(sizes), pack(code), pack(found >> np.uint64(48)), found.tobytes(), pack(counts), len(found), pairs, sum(train))
+        row = (at, ids, np.packbits(train).tobytes(), pack(sizes), pack_codes(code), pack(found >> np.uint64(48)), found.tobytes(), pack(counts), len(found), pairs, sum(train))
         return rows_of([row], _CHUNK)
 
     for batch in common.slices(batches, "text"):
@@ -179,7 +179,7 @@ class _Chunk:
             number[at], count[at] = unpack(told[k]["first"]), unpack(told[k]["second"])
         count[-1] = starts
         train = np.repeat(np.unpackbits(np.frombuffer(row["train"], np.uint8), count=len(sizes)).astype(bool), sizes)
-        return cls(sizes, train, unpack(row["codes"]).astype(np.int64), number, count)
+        return cls(sizes, train, unpack_codes(row["codes"]), number, count)
 
     def bigrams(self, parts: int, limit: int) -> _Grams:
         before = np.empty_like(self.code)

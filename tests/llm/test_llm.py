@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import ann, bpe, common, components, fingerprint, katz, langid, licenses, mixing, neardup, passages, queries, surrogates
+from gaugeworks.llm import ann, bpe, common, components, fingerprint, katz, langid, licenses, mixing, neardup, packing, passages, queries, surrogates
 
 SF = "/root/testdata/sf0.001"
 DDL = "doc_id long, text string, lang string, source string, n_chars long, size long, kept boolean, score double, node binary"
@@ -247,9 +247,10 @@ def test_mixing_nothing(spark):
 
 def test_licences(spark):
     mit = licenses.KNOWN["MIT"]
-    texts = [mit, "Copyright (c) 2020 A. Person\n" + mit.upper().replace("SUBLICENSE", "sub-license").replace(",", " ;"), mit + " more", None, "", "hello\nAll rights reserved!\n", "Licenced under the MIT Licence"]
+    texts = [mit, "Copyright (c) 2020 A. Person\n" + mit.upper().replace("SUBLICENSE", "sub-license").replace(",", " ;"), mit + " more", None, "", "hello\nAll rights reserved!\n", "Licenced under the MIT Licence", "Copyright 2020 Ann. Licensed under the MIT License. and a thousand other words", "© 2004-2020 The Regents of a University. All rights reserved.", (None, mit), "x\n" * 100_000]
     got = {r["doc_id"]: r for r in licenses.scan(documents(spark, texts)).collect()}
     assert [got[k]["license_id"] for k in range(7)] == ["MIT", "MIT", None, None, None, None, "MIT-notice"]
+    assert [got[k]["n_lines"] for k in (7, 8, 10)] == [1, 0, 100_000] and got[None]["license_id"] == "MIT"
     assert got[5]["notices"] == ["rights-reserved-notice"] and got[3]["n_lines"] == 0 and got[3]["digest"] == hashlib.sha256(b"").hexdigest()
     assert licenses.scan(documents(spark, texts).limit(0)).count() == 0
 
@@ -335,6 +336,15 @@ def test_words_of_long_texts_are_not_merged(spark):
     assert fingerprint.fingerprints(documents(spark, texts)).first()["near_next"] <= 0.1
 
 
+def test_packing():
+    rng = np.random.default_rng(2)
+    for top in (1, 240, 241, 5000, 1 << 16, (1 << 20) - 1, 1 << 20, 1 << 40):
+        for n in (0, 1, 1000):
+            v = rng.integers(0, top, n)
+            v[: n // 2] %= 300
+            assert (packing.unpack_codes(packing.pack_codes(v)) == v).all() and (packing.unpack(packing.pack(v)) == v).all()
+
+
 # -- BPE ------------------------------------------------------------------------
 
 
