@@ -237,6 +237,30 @@ def test_mixing_meets_its_targets(spark):
     assert got["n"]["target"] <= 3 * 700
 
 
+def test_mixing_of_odd_rows_and_reruns(spark):
+    rng = random.Random(14)
+    texts = [(None, "no id here"), (None, None), (1, prose(rng, 30_000)), (2, "twice the same"), (2, "twice the same"), (2, "other text")] + [(10 + k, prose(rng, rng.randrange(60))) for k in range(60)]
+    docs = documents(spark, texts, sources=[("a", "b", None)[k % 3] for k in range(len(texts))])
+
+    def run():
+        mixed = mixing.mix(docs.select("doc_id", "text", "source"))
+        taken = mixed.schedule.groupBy("source_key", "row").agg(F.sum("n_words").alias("t"))
+        rows = mixed.line.join(taken, ["source_key", "row"], "left").collect()
+        return mixed, sorted((r["doc_id"] or -1, r["source_key"], r["size"], r["t"] or 0) for r in rows)
+
+    mixed, first = run()
+    assert run()[1] == first and len(first) == len(texts) and all(t <= 3 * n for _, _, n, t in first)
+    # each slot goes to the source on whose stretch of the cumulative targets its mirrored number lies
+    goal = {r["source_key"]: r["target"] for r in mixed.line.select("source_key", "target").distinct().collect()}
+    ends, total = [], 0.0
+    for key in sorted(goal, key=lambda k: (k == "n", k)):
+        total += goal[key]
+        ends.append((total, key))
+    for r in mixed.schedule.select("slot", "source_key").distinct().collect():
+        x = int(f"{r['slot']:040b}"[::-1], 2) / 2**40 * sum(goal.values())
+        assert r["source_key"] == next(k for end, k in ends if x < end) or min(abs(x - e) for e, _ in ends) < 1e-6
+
+
 def test_mixing_nothing(spark):
     assert mixing.mix(documents(spark, ["x"]).limit(0)).schedule.count() == 0
     assert mixing.mix(documents(spark, [None, ""])).schedule.count() == 0
@@ -294,6 +318,13 @@ def test_neighbours_recall_and_ties(spark):
     assert hits / (45 * 20) >= 0.9 and set(found) == set(range(0, 900, 20))
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (1, [3.0, 0.0]), (2, [1.0, 1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    # asked is the least vector of the id; both rows of id 1 are candidates
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 2.0), (2, 1.0), (1, 0.0)]
+
+
 def test_neighbours_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in ann.search(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
