@@ -95,7 +95,7 @@ def rounded(row):
     return tuple(round(v, 6) + 0.0 if isinstance(v, float) else v for v in row)
 
 
-@pytest.mark.parametrize("name", ["m_entropy", "m_ngram", "m_casing_entropy", "lex_tokens", "lex_subwords", "grade_threshold", "dup_exact", "changed_files"])
+@pytest.mark.parametrize("name", ["m_entropy", "m_ngram", "m_casing_entropy", "lex_tokens", "lex_subwords", "grade_threshold_relational", "m_mtld", "m_unreachable_code", "diff_ranges", "dup_jaccard", "dup_exact", "changed_files"])
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "labels", "pages", "benchmark"):
