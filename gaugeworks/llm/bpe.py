@@ -230,6 +230,7 @@ def _encode(table: pa.Table, spec) -> pa.Table:
 def _join(batches: Iterator[pa.RecordBatch], sent, parts: int, names: list[str], with_ids: bool) -> Iterator[pa.RecordBatch]:
     """Documents with their ids, from the chunks and what they were told."""
     piece = sent.value
+    common.give_back()
     for batch in batches:
         for at in range(batch.num_rows):
             row = batch.select(["sizes", "codes", "slice", "told"]).slice(at, 1).to_pylist()[0]

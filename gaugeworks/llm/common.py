@@ -12,6 +12,8 @@ Shipping code
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import sys
 import tempfile
@@ -86,7 +88,7 @@ def part_of(column, modulus: int):
 
 
 #: Bytes of text that a kernel works on at once; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -94,6 +96,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
     length of its rows; no empty ones."""
     import pyarrow.compute as pc
 
+    give_back()
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         at, held = 0, 0
@@ -104,6 +107,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             held += n
         if at < batch.num_rows:
             yield batch.slice(at)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns memory that earlier tasks of this worker no longer use to the system: workers
+    are reused, and would otherwise keep the most that any of them has needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def unused(df: DataFrame, name: str) -> str:

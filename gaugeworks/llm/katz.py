@@ -374,6 +374,7 @@ def _discounted(g: _Grams, told: _Told, of_context: np.ndarray, d: np.ndarray, b
 
 def _score(batches: Iterator[pa.RecordBatch], sent, n: int, v_all: int, d2: np.ndarray, d3: np.ndarray, p: Params) -> Iterator[pa.RecordBatch]:
     s, total = sent.value, float(n + v_all + 1)
+    common.give_back()
     for batch in batches:
         for row in _each(batch):
             c, two, told2 = _levels(row, s)
