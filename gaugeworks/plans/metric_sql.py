@@ -243,7 +243,11 @@ def _mtld() -> tuple[str, str]:
     """A fold over a file's identifiers, forwards and backwards: the words of the run, its
     length, the number of runs."""
     state = "{{'w': '', 's': []::VARCHAR[], 'n': 0, 'k': 0}}"
-    step = "CASE WHEN len(list_distinct(list_append(a.s, b.w))) / (a.n + 1) <= 0.72 THEN {'w': '', 's': []::VARCHAR[], 'n': 0, 'k': a.k + 1} ELSE {'w': '', 's': list_distinct(list_append(a.s, b.w)), 'n': a.n + 1, 'k': a.k} END"
+    again = "list_contains(a.s, b.w)"
+    step = (
+        f"CASE WHEN (len(a.s) + CASE WHEN {again} THEN 0 ELSE 1 END) / (a.n + 1) <= 0.72 THEN {{'w': '', 's': []::VARCHAR[], 'n': 0, 'k': a.k + 1}} "
+        f"ELSE {{'w': '', 's': CASE WHEN {again} THEN a.s ELSE list_append(a.s, b.w) END, 'n': a.n + 1, 'k': a.k}} END"
+    )
     item = "{'w': w, 's': []::VARCHAR[], 'n': 0, 'k': 0}"
     ctes = [
         f"{name} AS (SELECT path, t, r.k + CASE WHEN r.n > 0 THEN (1 - len(r.s) / r.n) / (1 - 0.72) ELSE 0 END AS k FROM (SELECT path, count(*) AS t, list_reduce(list({item} ORDER BY pos {way}), lambda a, b: {step}, {state.format()}) AS r FROM ids GROUP BY path))"
