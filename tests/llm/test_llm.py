@@ -211,6 +211,44 @@ def test_exact_repeats_of_later_members_are_linked(spark):
     assert {r["doc_id"] for r in got} == want and all((r["start_word"], r["n_words"]) == (60, 60) for r in got)
 
 
+def test_edited_passages_behind_a_first_document_are_linked(spark):
+    # the first of three has both halves of the passage, apart, and so all least shingles
+    rng = random.Random(13)
+    fresh = lambda n: prose(rng, n, 10**9).split()
+    texts, want = [], set()
+    for _ in range(20):
+        p = fresh(60)
+        q = [*p[:30], "changed", *p[31:]]
+        want |= {len(texts) + 1, len(texts) + 2}
+        texts += [[*p[:30], *fresh(40), *p[31:], *fresh(40)], [*fresh(50), *p, *fresh(50)], [*fresh(50), *q, *fresh(50)]]
+    got = passages.repeated_passages(documents(spark, [" ".join(t) for t in texts])).where("links > 0").collect()
+    assert {r["doc_id"] for r in got} == want and len(got) == len(want)
+
+
+def test_no_edited_passage_is_left_to_chance(spark):
+    rng = random.Random(14)
+    fresh = lambda n: prose(rng, n, 10**9).split()
+    texts = []
+    for k in range(150):
+        p = fresh(51)
+        q = [p[:25] + fresh(1) + p[26:], p[:25] + fresh(1) + p[25:], p[:25] + p[26:]][k % 3]
+        texts += [fresh(40) + p + fresh(40), fresh(40) + q + fresh(40)]
+    got = passages.repeated_passages(documents(spark, [" ".join(t) for t in texts])).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(300))
+
+
+def test_a_passage_that_the_first_document_has_twice(spark):
+    rng = random.Random(15)
+    fresh = lambda n: prose(rng, n, 10**9).split()
+    texts = []
+    for _ in range(10):
+        p = fresh(60)
+        texts += [fresh(30) + p + fresh(100) + p + fresh(30), fresh(40) + p + fresh(40)]
+    got = passages.repeated_passages(documents(spark, [" ".join(t) for t in texts])).collect()
+    want = [(2 * k + d, at, 60, 2 * k) for k in range(10) for d, at in ((0, 30), (0, 190), (1, 40))]
+    assert sorted((r["doc_id"], r["start_word"], r["n_words"], r["class_id"]) for r in got) == want
+
+
 # -- mixing ---------------------------------------------------------------------
 
 
