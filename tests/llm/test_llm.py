@@ -589,6 +589,19 @@ def test_pipeline(spark, odd):
     assert cp.encode(spark, cp.mix(spark, docs.limit(0), ""), "").count() == 0
 
 
+def test_pipeline_stages_give_the_drivers_memory_back(spark, monkeypatch):
+    import corpus_pipeline
+
+    assert "Trim native heap" in common.trim(spark)
+    calls, trim = [], common.trim
+    monkeypatch.setattr(common, "trim", lambda s: calls.append(trim(s)))
+    docs = documents(spark, [prose(random.Random(k), 40) for k in range(4)]).select(*corpus_pipeline.COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        before = len(calls)
+        stage(spark, docs, SF)
+        assert len(calls) > before, name
+
+
 def test_surrogates_of_full_formats(spark):
     # three quarters of all addresses of one private range: most surrogates are entities
     ips = [f"192.168.{k >> 8}.{k & 255}" for k in range(3 << 14)]
