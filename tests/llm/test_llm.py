@@ -557,6 +557,15 @@ def test_katz_is_the_definition(spark):
         assert got[d]["base_score"] == pytest.approx(sum(math.log10(uni(w)) for w in t))
 
 
+def test_katz_order_is_by_part_context_and_place():
+    rng = np.random.default_rng(3)
+    for top in (3, 1 << 60):  # the larger ones do not fit one number
+        part, context = rng.integers(0, top, 500) // 2 * 2, rng.integers(0, 40, 500)
+        ids = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+        assert (katz._order(part, context, ids) == np.lexsort((ids[context], part))).all()
+    assert len(katz._order(part[:0], context[:0], ids)) == 0
+
+
 def test_katz_without_training(spark, odd):
     got = katz.score(documents(spark, odd), F.lit(False)).collect()
     assert len(got) == len(odd) and all(r["score"] == 0 and r["train_tokens"] == 0 for r in got)
