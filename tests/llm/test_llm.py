@@ -249,6 +249,29 @@ def test_a_passage_that_the_first_document_has_twice(spark):
     assert sorted((r["doc_id"], r["start_word"], r["n_words"], r["class_id"]) for r in got) == want
 
 
+def test_pairs_of_different_classes_only(spark):
+    # one shingle that 40 documents of class 1 and 3 others have, repeated inside each
+    rng, p = random.Random(16), passages.Params()
+    rows = [(7, 1 if d < 40 else d, d, rng.randrange(500), 500 + rng.randrange(500)) for d in range(43)] + [(8, 1, 50, 3, 3), (8, 1, 51, 3, 3), (9, 41, 41, 2000, 2000), (9, 1, 5, 2, 2)]
+    got = passages._candidates(spark.createDataFrame(rows, "s long, label long, doc_id long, lo int, hi int"), p)
+    want = {(x[2], y[2]) for x in rows for y in rows if x[0] == y[0] and x[1] != y[1] and x[2] < y[2]}
+    got = {(r["a"], r["b"]): r for r in got.collect()}
+    assert set(got) == want and len(want) == 123
+    reach = 2 * passages._reach(p) + 2 * p.words
+    assert got[5, 41]["alo"] == 0 and got[5, 41]["bhi"] == 2000 + reach and got[5, 41]["ahi"] == rows[5][4] + reach
+
+
+def test_diagonals_with_a_long_run():
+    rng, p = np.random.default_rng(17), passages.Params()
+    fresh = lambda n: rng.integers(1, 1 << 31, n).astype(np.int32)
+    one, two, line = fresh(21), fresh(11), fresh(3)
+    a, b = np.concatenate([fresh(9), one, fresh(5), two]), np.concatenate([one, fresh(2), two[:10], fresh(4), two])
+    assert passages.long_diagonals(a, b, p) == [-9, 2]
+    assert passages.long_diagonals(a[9:29], b, p) == []  # no run of 21
+    many = np.tile(line, 700)  # too many equal runs to list
+    assert passages.long_diagonals(many, many, p) == [d for d in range(-2100 + 11, 2100 - 10) if d % 3 == 0]
+
+
 # -- mixing ---------------------------------------------------------------------
 
 
