@@ -21,7 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go; the others are unchanged."""
-    common.release(spark)
+    common.relieve(spark)
     model = langid.learn(docs, F.lit(True))
     return langid.identify(docs, model).where(~F.col("lang_rejected")).select(*docs.columns)
 
@@ -29,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: its least id.  Of rows
     that share an id, the one with the least text stays; rows without an id stay."""
-    common.release(spark)
+    common.relieve(spark)
     classes = neardup.near_duplicates(docs.select("doc_id", "text"))
     gone = common.stored(classes.where("NOT kept").select("doc_id").distinct(), "gone")
     kept = docs.join(neardup.small(gone, neardup.Params()), "doc_id", "left_anti").select(*docs.columns)
@@ -43,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data get surrogates; n_chars follows the text."""
-    common.release(spark)
+    common.relieve(spark)
     clean = surrogates.replace(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
@@ -51,7 +51,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources: each row is what one pass takes of a document, whole
     or cut at the end of the pass; documents without words are not taken."""
-    common.release(spark)
+    common.relieve(spark)
     source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
     same = ["_id", "_source", "_size"]  # rows that share these are told apart by their order
@@ -73,7 +73,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, number of tokens and digests of ids and decoded text."""
-    common.release(spark)
+    common.relieve(spark)
     return bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.production())
 
 

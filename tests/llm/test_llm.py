@@ -634,6 +634,20 @@ def test_pipeline_stages_give_the_drivers_memory_back(spark, monkeypatch):
         assert len(calls) > before, name
 
 
+def test_pipeline_stages_have_executors_collect_garbage(spark, monkeypatch):
+    import corpus_pipeline
+
+    # what the driver does itself is left out: on a local master the executor is its JVM
+    monkeypatch.setattr(common, "release", lambda s: None)
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = next(b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = documents(spark, [prose(random.Random(k), 40) for k in range(4)]).select(*corpus_pipeline.COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        before = full.getCollectionCount()
+        stage(spark, docs, SF)
+        assert full.getCollectionCount() > before, name
+
+
 def test_surrogates_of_full_formats(spark):
     # three quarters of all addresses of one private range: most surrogates are entities
     ips = [f"192.168.{k >> 8}.{k & 255}" for k in range(3 << 14)]
