@@ -141,8 +141,11 @@ def in_order(rows: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next of every row of `docs` (doc_id, text)."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    common.release(spark)
     order = in_order(keyed(docs))
+    common.release(spark)  # before the driver builds the tables of variates
     cut = F.floor(F.col("n_chars") / 4).cast("int")
 
     # each distinct text once, at its key: the one exchange of texts, used twice
@@ -161,6 +164,7 @@ def fingerprints(docs: DataFrame, p: Params = Params()) -> DataFrame:
     sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     rows = ordered.select(*_KEY, "n_chars", "copies", sha("edited").alias("edited_sha"), sha("again").alias("again_sha"))
     rows = common.stored(rows.join(sigs, _KEY, "left"), "signatures")
+    common.release(spark)
 
     following = _renamed(rows.select(*_KEY, F.col("sig").alias("next_sig")), "next_")
     following = order.select(*_KEY, *(f"next_{c}" for c in _KEY)).join(following, [f"next_{c}" for c in _KEY]).select(*_KEY, "next_sig")

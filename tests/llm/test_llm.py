@@ -422,6 +422,14 @@ def test_fingerprints_of_odd_rows(spark, odd):
     assert fingerprint.fingerprints(documents(spark, odd).limit(0)).count() == 0
 
 
+def test_fingerprints_give_the_drivers_memory_back(spark, monkeypatch):
+    steps, stored = [], common.stored
+    monkeypatch.setattr(common, "release", lambda s: steps.append("release"))
+    monkeypatch.setattr(common, "stored", lambda df, tag: steps.append(tag) or stored(df, tag))
+    assert fingerprint.fingerprints(documents(spark, ["one two", "three", None])).count() == 3
+    assert steps == ["release", "keys", "order", "release", "signatures", "release"]
+
+
 def test_words_of_long_texts_are_not_merged(spark):
     # 20,000 different words each: nothing in common
     texts = [" ".join(f"{c}{k}" for k in range(20_000)) for c in "ab"]
