@@ -261,6 +261,25 @@ def test_pairs_of_different_classes_only(spark):
     assert got[5, 41]["alo"] == 0 and got[5, 41]["bhi"] == 2000 + reach and got[5, 41]["ahi"] == rows[5][4] + reach
 
 
+def test_texts_alike_in_parts_only_are_not_compared_in_pairs(spark, monkeypatch):
+    # 24 documents with the same two lines, too far apart for one passage, and an edited passage behind a first document
+    rng, counts = random.Random(18), []
+    fresh = lambda n: prose(rng, n, 10**9).split()
+    one, two, p = fresh(30), fresh(30), fresh(60)
+    texts = [fresh(20) + one + fresh(15) + two + fresh(20) for _ in range(24)]
+    texts += [[*p[:30], *fresh(40), *p[31:], *fresh(40)], [*fresh(50), *p, *fresh(50)], [*fresh(50), *p[:30], "changed", *p[31:], *fresh(50)]]
+    stored = common.stored
+
+    def counting(df, tag):
+        out = stored(df, tag)
+        counts.extend([out.count()] if tag == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(common, "stored", counting)
+    got = passages.repeated_passages(documents(spark, [" ".join(t) for t in texts])).where("links > 0").collect()
+    assert sorted(r["doc_id"] for r in got) == [25, 26] and sum(counts) < 60  # all pairs of the 24 are 276
+
+
 def test_diagonals_with_a_long_run():
     rng, p = np.random.default_rng(17), passages.Params()
     fresh = lambda n: rng.integers(1, 1 << 31, n).astype(np.int32)
