@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import text as X
 from gaugeworks.operators import aggregate as A
+from gaugeworks.operators import compress as C
 from gaugeworks.operators import folds
 from gaugeworks.operators import metrics as M
+from gaugeworks.operators import pairs as P
 
 
 def test_long_runs_are_read_once(spark):
@@ -44,3 +46,27 @@ def test_tokens_are_counted_in_their_file(spark):
     files = spark.createDataFrame([("p", "a b a é1.5"), ("q", ""), ("r", None), ("s", "x")], "path string, content string")
     got = files.select("path", F.inline(folds.token_counts()("content"))).collect()
     assert sorted(map(tuple, got)) == [("p", "1.5", 1), ("p", "a", 2), ("p", "b", 1), ("p", "é", 1), ("s", "x", 1)]
+
+
+def test_texts_with_equal_shingles_are_paired(spark):
+    """Texts that differ in marks and case only are one class of shingles, but different texts."""
+    texts = [("a", "one two three four five six"), ("b", "One two, three four five six!"), ("c", "one two three four five seven"), ("d", "one two three four five six"), ("e", "")]
+    files = spark.createDataFrame(texts, "path string, content string")
+    pairs = P.text_pairs(files, least=0.3)
+    assert sorted(map(tuple, pairs.collect())) == [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c")]
+    rows = C.nearest(C.distances(pairs, files)).collect()
+    assert len(rows) == 8 and next(r["other"] for r in rows if r["path"] == "a" and r["rank"] == 1) == "d"
+
+
+def test_pairs_are_those_of_brute_force(spark):
+    words = [f"w{k * k % 23}" for k in range(400)]
+    texts = [(f"p{k:02}", " ".join(words[k * 7 : k * 7 + 20 + k % 13])) for k in range(50)]
+    got = P.jaccard_pairs(P.shingled(spark.createDataFrame(texts, "path string, content string"))).collect()
+    sets, classes = {}, {}
+    for path, text in texts:
+        w = text.split(" ")
+        sets[path] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        classes.setdefault(sets[path], path)
+    own = sorted(classes.values())
+    want = {(a, b, len(sets[a] & sets[b])) for a in own for b in own if a < b and 5 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    assert {(r["a"], r["b"], r["shared"]) for r in got} == want and want
