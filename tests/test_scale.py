@@ -70,3 +70,13 @@ def test_pairs_are_those_of_brute_force(spark):
     own = sorted(classes.values())
     want = {(a, b, len(sets[a] & sets[b])) for a in own for b in own if a < b and 5 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
     assert {(r["a"], r["b"], r["shared"]) for r in got} == want and want
+
+
+def test_blocks_are_parsed_once_for_proportions(spark):
+    """The rows of blocks are read four times, and kept; tokens are plain tuples."""
+    from gaugeworks.operators import blocks as B
+    from gaugeworks.plans import queries
+
+    assert isinstance(B.lex("a")[0], tuple)
+    plan = queries.block_proportions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in plan and "MapInArrow" not in plan.split("InMemoryRelation")[0]
